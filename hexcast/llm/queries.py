@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexcast.llm.shared import documents
+from hexcast.llm.packing import pack_lengths, token_pieces
+from hexcast.llm.shared import documents, scratch_dir, written
 from hexcast.llm.sharding import balanced_shards
+from hexcast.llm.tokenfiles import read_token_files, write_token_files
 
 SHARDS = 24
+SEQUENCE = 4096
+END_ID = 2
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +42,21 @@ SELECT doc_id, size, 'bytes' AS law, shard,
   row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cut
 """
 
-QUERIES = {"op1_sharding": op1_sharding}
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), "word", END_ID, SEQUENCE)
+    pieces = written(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    packed = pack_lengths(pieces, SEQUENCE, ["doc_id", "start"])
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_token_files(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), "byte", 0)
+    rows = read_token_files(spark, path)
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op4_packing": op4_packing, "op10_token_files": op10_token_files}
 #: op1 has no SQL: DuckDB has no crc32; tests/llm compares it with OP1_SQL on the other columns
 ORACLES: dict[str, str] = {}
