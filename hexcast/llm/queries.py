@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hexcast.llm.fingerprints import edited_fingerprints
 from hexcast.llm.linededup import dedup_lines
 from hexcast.llm.packing import pack_lengths, token_pieces
+from hexcast.llm.pii import KINDS, find_pii, joined
 from hexcast.llm.shared import documents, scratch_dir, written
 from hexcast.llm.sharding import balanced_shards
 from hexcast.llm.tokenfiles import read_token_files, write_token_files
@@ -56,6 +57,13 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(documents(spark, sf_dir))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir)).select("doc_id", "text", "lines_removed")
 
@@ -67,6 +75,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op8_line_dedup": op8_line_dedup, "op10_token_files": op10_token_files}
+QUERIES = {"op1_sharding": op1_sharding, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_pii": op6_pii, "op8_line_dedup": op8_line_dedup, "op10_token_files": op10_token_files}
 #: op1 has no SQL: DuckDB has no crc32; tests/llm compares it with OP1_SQL on the other columns
 ORACLES: dict[str, str] = {}
