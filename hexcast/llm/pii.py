@@ -34,7 +34,7 @@ _LOCAL_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 
 # generators of further proposals: wide on purpose
 _WORDY = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?(?:@|[\[({]\s?at\s?[\])}]|\s(?:at|AT)\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|[\[({]\s?dot\s?[\])}]|\s(?:dot|DOT)\s)\s?[A-Za-z0-9-]{2,63}){1,4}")
-_DIGITS = re.compile(r"[(+]?[0-9](?:[\x20(). /_-]{0,2}[0-9]){6,24}")
+_DIGITS = re.compile(r"(?<![A-Za-z0-9])[(+]?[0-9](?:[\x20(). /_-]{0,2}[0-9]){6,24}(?![A-Za-z0-9])")
 _DOTTED = re.compile(r"[0-9]{1,3}(?:\s?[.,·]\s?[0-9]{1,3}|\[\.\][0-9]{1,3}){3}")
 _PHONE_WORDS = ("phone", "tel", "call", "mobile", "fax", "cell", "whatsapp", "telefon", "tél", "móvil")
 _CARD_WORDS = ("card", "visa", "credit", "debit", "master", "amex", "karte", "carte", "tarjeta")

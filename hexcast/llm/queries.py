@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexcast.llm.fingerprints import edited_fingerprints
@@ -15,6 +15,7 @@ from hexcast.llm.pii import KINDS, find_pii, joined
 from hexcast.llm.shared import documents, scratch_dir, written
 from hexcast.llm.sharding import balanced_shards
 from hexcast.llm.tokenfiles import read_token_files, write_token_files
+from hexcast.llm.toxicity import fit_toxicity
 
 SHARDS = 24
 SEQUENCE = 4096
@@ -46,6 +47,23 @@ SELECT doc_id, size, 'bytes' AS law, shard,
 """
 
 
+def held_out() -> Column:
+    return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5) == 0
+
+
+def toxicity_scorer(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """Fitted on the labels of docs that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    labelled = docs.select("doc_id", "text").join(labels.where(~held_out()).dropDuplicates(["doc_id"]), "doc_id")
+    return fit_toxicity(labelled)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = toxicity_scorer(spark, docs, sf_dir)(docs)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), "word", END_ID, SEQUENCE)
     pieces = written(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
@@ -75,6 +93,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_pii": op6_pii, "op8_line_dedup": op8_line_dedup, "op10_token_files": op10_token_files}
+QUERIES = {"op1_sharding": op1_sharding, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_pii": op6_pii, "op8_line_dedup": op8_line_dedup, "op10_token_files": op10_token_files}
 #: op1 has no SQL: DuckDB has no crc32; tests/llm compares it with OP1_SQL on the other columns
 ORACLES: dict[str, str] = {}
