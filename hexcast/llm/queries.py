@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexcast.llm.fingerprints import edited_fingerprints
+from hexcast.llm.jaccard import similar_classes
 from hexcast.llm.linededup import dedup_lines
 from hexcast.llm.packing import pack_lengths, token_pieces
 from hexcast.llm.pii import KINDS, find_pii, joined
@@ -82,6 +83,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = similar_classes(documents(spark, sf_dir))
+    return classes.select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir)).select("doc_id", "text", "lines_removed")
 
@@ -93,6 +99,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_pii": op6_pii, "op8_line_dedup": op8_line_dedup, "op10_token_files": op10_token_files}
+QUERIES = {"op1_sharding": op1_sharding, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_pii": op6_pii, "op7_jaccard_join": op7_jaccard_join, "op8_line_dedup": op8_line_dedup, "op10_token_files": op10_token_files}
 #: op1 has no SQL: DuckDB has no crc32; tests/llm compares it with OP1_SQL on the other columns
 ORACLES: dict[str, str] = {}
