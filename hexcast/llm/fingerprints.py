@@ -73,6 +73,7 @@ def collisions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     bodies = written(bodies.join(shared, "digest"), "forms")
     first = bodies.where("row = first_row").groupBy("digest").agg(F.min("form").alias("first_form"))
     other = bodies.join(written(first, "first-forms"), "digest").where("form <> first_form")
+    other = written(other, "unequal-forms")  # numbered apart from the join, which Spark may then split
     nth = F.dense_rank().over(Window.partitionBy("digest").orderBy("form"))
     return other.select("digest", "row", nth.alias("nth")).distinct()
 
