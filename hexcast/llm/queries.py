@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hexcast.llm.decontaminate import contaminated
 from hexcast.llm.fingerprints import edited_fingerprints
 from hexcast.llm.jaccard import similar_classes
 from hexcast.llm.linededup import dedup_lines
@@ -48,6 +49,10 @@ SELECT doc_id, size, 'bytes' AS law, shard,
 """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def held_out() -> Column:
     return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5) == 0
 
@@ -99,6 +104,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_pii": op6_pii, "op7_jaccard_join": op7_jaccard_join, "op8_line_dedup": op8_line_dedup, "op10_token_files": op10_token_files}
+QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_pii": op6_pii, "op7_jaccard_join": op7_jaccard_join, "op8_line_dedup": op8_line_dedup, "op10_token_files": op10_token_files}
 #: op1 has no SQL: DuckDB has no crc32; tests/llm compares it with OP1_SQL on the other columns
 ORACLES: dict[str, str] = {}

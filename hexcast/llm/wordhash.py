@@ -13,6 +13,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _TOP = 0x3001
 _WHITE = np.array([chr(c).isspace() for c in range(_TOP)] + [False])
+_NO_WORD = np.array([not chr(c).isalnum() for c in range(_TOP)] + [False])
 GROUP = 1 << 19
 
 
@@ -59,10 +60,10 @@ def pieces(texts: list[str], size: int = GROUP) -> Iterator[tuple[list[str], lis
         yield held, owners
 
 
-def word_spans(joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, past the last, hash) of each word of a text."""
+def word_spans(joined: str, gaps: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, past the last, hash) of each word of a text; gaps marks the characters between words."""
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    ink = ~_WHITE[np.minimum(code, _TOP)]
+    ink = ~gaps[np.minimum(code, _TOP)]
     edges = np.flatnonzero(np.diff(np.concatenate([[False], ink, [False]]).astype(np.int8)))
     first, last = edges[::2], edges[1::2]
     total = np.zeros(len(code) + 1, np.uint64)
@@ -71,11 +72,14 @@ def word_spans(joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, last, mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All word hashes in order, and the number of words of each text."""
+def word_hashes(texts: list[str], letters_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """All word hashes in order, and the number of words of each text.
+
+    With letters_only, words are runs of letters and digits, and punctuation is left out.
+    """
     counts, out = np.zeros(len(texts), np.int64), []
     for held, owners in pieces([t.lower() for t in texts]):
-        first, _, hashed = word_spans("\n".join(held))
+        first, _, hashed = word_spans("\n".join(held), _NO_WORD if letters_only else _WHITE)
         ends = np.cumsum([len(p) + 1 for p in held])
         owner = np.searchsorted(ends, first, "right")
         np.add.at(counts, owners, np.bincount(owner, minlength=len(held)))
