@@ -1,12 +1,66 @@
-"""The corpus pipeline: stages applied to the documents table, each written and read again."""
+"""The corpus pipeline: stages applied to the documents table, each written and read again.
+
+Each stage works on all rows that its predecessor kept. All but the last return the columns of documents;
+the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hexcast.llm.decontaminate import contaminated
+from hexcast.llm.jaccard import similar_classes
+from hexcast.llm.linededup import dedup_lines
+from hexcast.llm.packing import pack_lengths, token_pieces
+from hexcast.llm.queries import END_ID, SEQUENCE, toxicity_scorer
+from hexcast.llm.shared import documents, without_keys, written
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the scorer does not call toxic."""
+    return toxicity_scorer(spark, docs, sf_dir)(docs).where("predicted = 0").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the chunks of lines that an earlier one has; n_chars follows the text."""
+    out = dedup_lines(docs).select(*docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of copies and near copies: the first by doc_id and text hash.
+
+    Repeated rows of equal id and text count as one document.
+    """
+    classes = similar_classes(docs)
+    place = F.xxhash64("doc_id", "row")
+    rows = docs.withColumn("__place", F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))))
+    return without_keys(rows, classes.where(~F.col("first")).select(place.alias("__place")), "__place").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without_keys(docs, found.select("doc_id"), "doc_id")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their place in the packed sequences."""
+    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), "word", END_ID, SEQUENCE)
+    pieces = written(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    return pack_lengths(pieces, SEQUENCE, ["doc_id", "start"])
 
-from hexcast.llm.shared import documents, written
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+#: no SQL: trained scores, MinHash, latent retrieval and token ids; tests/llm compares with brute force
 ORACLE_SQL = None
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hexcast.llm.decontaminate import contaminated
 from hexcast.llm.fingerprints import edited_fingerprints
+from hexcast.llm.htmltext import extract_text
 from hexcast.llm.jaccard import similar_classes
 from hexcast.llm.linededup import dedup_lines
 from hexcast.llm.packing import pack_lengths, token_pieces
@@ -97,6 +98,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir)).select("doc_id", "text", "lines_removed")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return extract_text(pages)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_files(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), "byte", 0)
@@ -104,6 +110,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_pii": op6_pii, "op7_jaccard_join": op7_jaccard_join, "op8_line_dedup": op8_line_dedup, "op10_token_files": op10_token_files}
+QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_pii": op6_pii, "op7_jaccard_join": op7_jaccard_join, "op8_line_dedup": op8_line_dedup, "op9_html_extraction": op9_html_extraction, "op10_token_files": op10_token_files}
 #: op1 has no SQL: DuckDB has no crc32; tests/llm compares it with OP1_SQL on the other columns
 ORACLES: dict[str, str] = {}

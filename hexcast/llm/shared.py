@@ -106,6 +106,20 @@ def maybe_with_keys(rows: DataFrame, key: str, filter_: DataFrame) -> DataFrame:
     return joined.where(F.col("__bits").bitwiseAND(mask) == mask).drop("__word", "__bits")
 
 
+def without_keys(rows: DataFrame, drop: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among drop's; null keys stay.
+
+    Rows that the bounded broadcast filter clears pass without a shuffle; only the others meet drop in an
+    exact anti join.
+    """
+    drop = written(drop.select(key).distinct(), "dropped")
+    flagged = rows.withColumn("__word", _filter_word(F.col(key))).join(F.broadcast(key_filter(drop, key)), "__word", "left")
+    mask = _filter_mask(F.col(key))
+    flagged = flagged.withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(mask) == mask, F.lit(False)))
+    passed = flagged.where(~F.col("__maybe")).select(*rows.columns)
+    return passed.unionByName(flagged.where("__maybe").select(*rows.columns).join(drop, key, "left_anti").select(*rows.columns))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components as (node, component); component is the least node id.
 
