@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexcast.llm.shared import components, key_filter, maybe_with_keys, width, written
-from hexcast.llm.wordhash import mix, sequence_hashes, shingle_hashes, word_hashes
+from hexcast.llm.wordhash import mix, sequence_hashes, shingle_hashes, slices, word_hashes
 
 BLOCK = 512
 RECALL = 0.999
@@ -99,7 +99,7 @@ def similar_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, key
     def sketch(batches):
         task = TaskContext.get().partitionId() << 33
         done = 0
-        for batch in batches:
+        for batch in slices(batches):
             words, counts = word_hashes(batch["text"].tolist())
             one, two = sequence_hashes(words, counts)
             shingles, number = shingle_hashes(words, counts, size)
@@ -113,7 +113,7 @@ def similar_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, key
             done += len(batch)
 
     def sets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             words, counts = word_hashes(batch["text"].tolist())
             shingles, number = shingle_hashes(words, counts, size)
             each = [np.unique(s).tobytes() for s in np.split(shingles, np.cumsum(number)[:-1])]

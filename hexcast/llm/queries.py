@@ -61,8 +61,7 @@ def held_out() -> Column:
 def toxicity_scorer(spark: SparkSession, docs: DataFrame, sf_dir: str):
     """Fitted on the labels of docs that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
-    labelled = docs.select("doc_id", "text").join(labels.where(~held_out()).dropDuplicates(["doc_id"]), "doc_id")
-    return fit_toxicity(labelled)
+    return fit_toxicity(docs, labels.where(~held_out()))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

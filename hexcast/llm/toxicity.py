@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from hexcast.llm.shared import written
 
-#: Labelled rows that the trees are fitted on, at most (a hash sample keeps this number; half as many calibrate).
-FIT_ROWS = 20_000
+#: Labelled rows that lexicon, trees and calibration are fitted on: a hash sample of about this size at most.
+FIT_ROWS = 30_000
 LEXICON = 400  # entries kept, at most
 STEM = 5
 SMOOTH = 0.5
@@ -36,7 +36,7 @@ def _words(text: str) -> list[str]:
 
 
 def learn_lexicon(labelled: DataFrame, text: str, label: str) -> dict[str, float]:
-    """Words and stems with their log odds of document frequency, toxic against other; all labelled rows count."""
+    """Words and stems with their log odds of document frequency, toxic against other."""
 
     def terms(batches):
         for batch in batches:
@@ -97,25 +97,28 @@ def with_features(docs: DataFrame, text: str, lexicon: dict[str, float]) -> Data
     return docs.withColumn("features", each(F.coalesce(F.col(text), F.lit(""))))
 
 
-def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "label", sample_key: str = "doc_id"):
+def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label"):
     """A function that adds score (double, 0 to 1) and predicted (0 or 1) to documents.
 
-    labelled has the text and a 0/1 label (rows with a null label are left out). The lexicon is counted
-    over all of it; trees and calibration use a hash sample of FIT_ROWS * 1.5 rows at most. With labels
-    of one kind only, every score is that kind's share. Existing columns score and predicted are replaced.
+    labels has the key and a 0/1 label; rows with a null label are left out, and a key with both labels
+    counts as 1. At most about FIT_ROWS labels are used, a uniform hash sample, so the labelled side of
+    the join is bounded and is broadcast: texts are never shuffled. With labels of one kind only (or none),
+    every score is that kind's share. Null texts count as empty. Existing columns score and predicted are
+    replaced.
     """
-    rows = labelled.where(F.col(label).isNotNull()).withColumn(text, F.coalesce(F.col(text), F.lit("")))
-    n, bad = rows.agg(F.count(F.lit(1)), F.sum(F.col(label).cast("double"))).first()
+    known = labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("double").alias("__label"))
+    n, bad = known.agg(F.count(F.lit(1)), F.sum("__label")).first()
     bad = bad or 0.0
     if not 0 < bad < n:
         share = bad / n if n else 0.0
         return lambda docs: docs.withColumn("score", F.lit(share)).withColumn("predicted", F.lit(int(share >= 0.5)))
-    lexicon = learn_lexicon(rows, text, label)
-    most = int(FIT_ROWS * 1.5)
-    sample = rows.select(text, F.col(label).cast("double").alias("label"), F.xxhash64(F.col(sample_key), F.lit(9)).alias("h"))
-    if n > most:  # a uniform hash sample of the wanted expected size
-        sample = sample.where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * most / n))
-    data = written(with_features(sample, text, lexicon).select("features", "label", "h"), "toxic-fit")
+    h = F.xxhash64(F.col(key), F.lit(9))
+    if n > FIT_ROWS:
+        known = known.where(F.pmod(h, F.lit(1_000_000)) < int(1_000_000 * FIT_ROWS / n))
+    rows = docs.join(F.broadcast(known), key).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col("__label").alias("label"), h.alias("h"))
+    rows = written(rows, "labelled")
+    lexicon = learn_lexicon(rows, "text", "label")
+    data = written(with_features(rows, "text", lexicon).select("features", "label", "h"), "toxic-fit")
     data = data.withColumn("features", array_to_vector("features"))
     trees = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, seed=7, subsamplingRate=0.8).fit(data.where("pmod(h div 1000000, 3) > 0"))
     raw = lambda df: trees.transform(df).withColumn("raw", vector_to_array("probability")[1])

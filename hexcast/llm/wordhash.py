@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -60,6 +61,16 @@ def pieces(texts: list[str], size: int = GROUP) -> Iterator[tuple[list[str], lis
         yield held, owners
 
 
+def slices(batches, column: str = "text", chars: int = 1 << 22) -> Iterator[pd.DataFrame]:
+    """The batches' rows in slices of about this many characters, so that arrays per word stay small."""
+    for batch in batches:
+        if len(batch):
+            group = np.cumsum(batch[column].str.len().to_numpy()) // chars
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(batch)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield batch.iloc[a:b]
+
+
 def word_spans(joined: str, gaps: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, past the last, hash) of each word of a text; gaps marks the characters between words."""
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
