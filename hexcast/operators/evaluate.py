@@ -42,6 +42,11 @@ def value_counts(rows: DataFrame, label: str) -> DataFrame:
     return counts.select(label, "n", F.round(ratio("n", "__n") * 100, 2).alias("percent")).orderBy(F.desc("n"), label)
 
 
+def correlation(a: str | Column, b: str | Column) -> Column:
+    """Aggregate: Pearson correlation, null for constant inputs (corr() itself fails on them in ANSI mode)."""
+    return F.try_divide(F.covar_pop(col(a), col(b)), F.stddev_pop(col(a)) * F.stddev_pop(col(b)))
+
+
 def regression(actual: str | Column, predicted: str | Column) -> dict[str, Column]:
     """Aggregates r2, mae, rmse, corr and rmsle of predictions clamped at 0.
 
@@ -54,7 +59,7 @@ def regression(actual: str | Column, predicted: str | Column) -> dict[str, Colum
         "r2": F.lit(1.0) - F.try_divide(F.avg(error * error), F.var_pop(y)),
         "mae": F.avg(F.abs(error)),
         "rmse": F.sqrt(F.avg(error * error)),
-        "corr": F.when(F.stddev_pop(p) > 1e-9, F.corr(y, p)).otherwise(0.0),
+        "corr": F.when(F.stddev_pop(p) > 1e-9, correlation(y, p)).otherwise(0.0),
         "rmsle": F.sqrt(F.avg(logs * logs)),
     }
 
@@ -96,7 +101,7 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
         return df.join(ranks, c)
 
     both = ranked(ranked(rows.select(a, b), a), b)
-    return both.agg(F.corr(a, b).alias("pearson"), F.corr(f"__rank_{a}", f"__rank_{b}").alias("spearman"))
+    return both.agg(correlation(a, b).alias("pearson"), correlation(f"__rank_{a}", f"__rank_{b}").alias("spearman"))
 
 
 def top_share_overlap(rows: DataFrame, a: str, b: str, key: str, share: float = 0.1) -> DataFrame:

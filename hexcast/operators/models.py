@@ -54,7 +54,7 @@ def score_delta(model: PipelineModel, rows: DataFrame, features: list[str], base
 def poisson_fit(rows: DataFrame, group: list[str], exposure: str, features: list[str], total: str, rounds: int = 25) -> list[float]:
     """Coefficients of a group-level Poisson model, the expected total being sum(exposure * exp(x b)).
 
-    Newton steps; each is one aggregation by group and one over groups, so only a few numbers reach the
+    Fisher scoring; each step is one aggregation by group and one over groups, so only a few numbers reach the
     driver. The exponent is clipped to +-30, and a step that worsens the likelihood is halved.
     """
     beta = np.zeros(len(features))
@@ -66,7 +66,7 @@ def poisson_fit(rows: DataFrame, group: list[str], exposure: str, features: list
         loss = F.sum(F.col("m") - F.col("y") * F.log(F.greatest(F.col("m"), F.lit(1e-12))))
         pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))] if full else []
         gradient = [F.sum((F.lit(1.0) - F.col("y") / F.greatest(F.col("m"), F.lit(1e-12))) * F.col(f"g{k}")) for k in range(len(features))] if full else []
-        curve = [F.sum(F.col("y") / F.greatest(F.col("m") * F.col("m"), F.lit(1e-12)) * F.col(f"g{i}") * F.col(f"g{j}")) for i, j in pairs]
+        curve = [F.sum(F.col(f"g{i}") * F.col(f"g{j}") / F.greatest(F.col("m"), F.lit(1e-12))) for i, j in pairs]
         return [float(v or 0.0) for v in by_group.agg(loss, *gradient, *curve).first()], pairs
 
     for _ in range(rounds):
@@ -79,6 +79,8 @@ def poisson_fit(rows: DataFrame, group: list[str], exposure: str, features: list
         scale = 1.0
         while scale > 1e-4 and pieces(beta - scale * step, False)[0][0] > values[0]:
             scale /= 2
+        if scale <= 1e-4:
+            break
         beta = beta - scale * step
         if np.abs(scale * step).max() < 1e-8:
             break

@@ -30,7 +30,7 @@ def read_weather_docs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_strings(spark: SparkSession, path: str) -> DataFrame:
     """(value): the elements of JSON arrays of strings, such as checkpoint lists."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", "array<string>")).alias("value"))
 
 
@@ -39,7 +39,7 @@ def read_polygons(spark: SparkSession, path: str, properties: str) -> DataFrame:
 
     A multipolygon's rings are those of all its parts, to be read by the even-odd rule.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     shape = f"struct<features: array<struct<properties: struct<{properties}>, geometry: struct<type: string, coordinates: string>>>>"
     f = text.select(F.explode(F.from_json("value", shape)["features"]).alias("f")).select("f.properties.*", F.col("f.geometry").alias("g"))
     single = F.from_json("g.coordinates", "array<array<array<double>>>")
