@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hexcast.llm.shared import width
+from hexcast.llm.wordhash import slices
 
 
 def token_pieces(
@@ -29,7 +30,7 @@ def token_pieces(
         from hexcast.llm.textids import token_ids
 
         coder = token_ids(tokenizer, kind)
-        for batch in batches:
+        for batch in slices(batches):
             flat, n = coder.encode(batch["text"].tolist())
             flat = np.insert(flat, np.cumsum(n), end_id).astype("<u4")
             n = n + 1
