@@ -24,6 +24,8 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     crosses a block's end, where missing values are written as 0.
     """
     n = len(values)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     blocks = -(-n // BLOCK)
     wide = np.zeros(blocks * (BLOCK + _PAD), np.uint64)
     wide[_padded(n)] = values
@@ -38,8 +40,7 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         select[run] = s
     at = np.arange(blocks) * (BLOCK + _PAD)
     stop = at + BLOCK
-    if blocks:
-        stop[-1] = at[-1] + n - (blocks - 1) * BLOCK
+    stop[-1] = at[-1] + n - (blocks - 1) * BLOCK
     order, places = [], []
     live = np.arange(blocks)
     while len(live):
@@ -47,8 +48,6 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order.append(live)
         at[live] += COUNTS[select[at[live]]]
         live = live[at[live] < stop[live]]
-    if not places:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     places, order = np.concatenate(places), np.concatenate(order)
     places = np.sort(places)
     words = np.zeros(len(places), np.uint64)
