@@ -130,3 +130,25 @@ def features(rows: DataFrame, properties: list[str], lon: str = "center_lon", la
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def hash_sample(rows: DataFrame, n: int, key: str = "cell", seed: int = 42) -> DataFrame:
+    """n rows without replacement, the same ones whatever the partitions: least hash of an integer key first."""
+    mixed = F.pmod((F.col(key) + seed) * F.lit(2654435761), F.lit(4294967296))
+    return rows.orderBy(mixed, key).limit(n)
+
+
+def keep_one(rows: DataFrame, keys: list[str], priority: str) -> DataFrame:
+    """One row for each key: the highest priority; combines map-side."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max(F.struct(priority, *[c for c in rest if c != priority])).alias("__best"))
+    return best.select(*keys, *[f"__best.{c}" for c in rest])
+
+
+def simulated_history(rows: DataFrame, keys: list[str], value: str, weeks: int = 11) -> DataFrame:
+    """Demo only: weeks before a single known one, with hashed noise, marked is_simulated."""
+    back = F.explode(F.sequence(F.lit(0), F.lit(weeks))).alias("ago")
+    out = rows.select("*", back)
+    noise = F.pmod(F.xxhash64(*keys, "ago"), F.lit(1000)) / 1000.0
+    out = out.withColumn(value, F.when(F.col("ago") == 0, F.col(value)).otherwise(F.greatest(F.lit(0.0), F.col(value) * (0.7 + 0.6 * noise))))
+    return out.withColumn("week", F.pmod(F.col("week") - 1 - F.col("ago"), F.lit(52)) + 1).withColumn("is_simulated", F.col("ago") > 0).drop("ago")

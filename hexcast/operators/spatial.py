@@ -160,3 +160,16 @@ def pixels_in_polygons(pixels: DataFrame, polygons: DataFrame, keep: list[str],
 
     near = placed.join(boxes, ["tx", "ty"]).where(in_ring(x, y, F.col("edges")) | F.exists("edges", meets))
     return near.select(*pixels.columns, *keep)
+
+
+def cells_of_polygons(polygons: DataFrame, keep: list[str], width: float = 0.03, west: float = 68.0, south: float = 8.0) -> DataFrame:
+    """Axial grid cells whose centre lies in a polygon: (q, r, centre, kept columns), a row per polygon.
+
+    Rows and columns of each polygon's box are generated, so a polygon costs its own box, not the map.
+    """
+    span = lambda low, high, start: F.sequence(F.floor((F.col(low) - start) / width), F.ceil((F.col(high) - start) / width))
+    rows = with_edges(polygons).withColumn("r", F.explode(span("south", "north", south)))
+    rows = rows.withColumn("q", F.explode(span("west", "east", west - width)))
+    rows = rows.withColumn("center_lon", F.lit(west) + F.lit(width) * F.col("q") + F.lit(width / 2) * F.pmod("r", F.lit(2)))
+    rows = rows.withColumn("center_lat", F.lit(south) + F.lit(width) * F.col("r"))
+    return rows.where(in_ring(F.col("center_lon"), F.col("center_lat"), F.col("edges"))).select(*keep, "q", "r", "center_lon", "center_lat")

@@ -740,6 +740,98 @@ def parsed_props(spark, d):
     return T.table(spark, d, "events").groupBy((k % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# ---- serving, sets and samples -----------------------------------------------------------------
+
+
+@query(f"WITH {PANEL} SELECT max(year) AS latest_year, max(week) FILTER (year = (SELECT max(year) FROM panel)) AS latest_week, count(DISTINCT disease) AS diseases, min(disease) AS first_disease FROM panel", latest_year="INTEGER", latest_week="INTEGER")
+def metadata(spark, d):
+    rows = T.cell_panel(spark, d)
+    last = F.max(F.struct("year", "week"))
+    return rows.agg(last["year"].alias("latest_year"), last["week"].alias("latest_week"), F.countDistinct("disease").alias("diseases"), F.min("disease").alias("first_disease"))
+
+
+@query(f"WITH {PANEL} SELECT * FROM (SELECT year, week, disease, round(value, 6) AS value FROM panel WHERE cell = 7 AND disease = 'view' ORDER BY 1 DESC, 2 DESC LIMIT 12)", year="INTEGER", week="INTEGER")
+def cell_history(spark, d):
+    rows = T.cell_panel(spark, d).where("cell = 7 and disease = 'view'")
+    return risk.history(rows, "value").select("year", "week", F.lit("view").alias("disease"), F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {RISK_A}, {RISK_B} SELECT risk_a.cell, CASE WHEN EXISTS (SELECT 1 FROM risk_b WHERE risk_b.cell = risk_a.cell) THEN 'local' ELSE 'global' END AS source FROM risk_a")
+def explanation_source(spark, d):
+    b = T.risk_b(spark, d).select("cell", F.lit("local").alias("source"))
+    return T.risk_a(spark, d).join(b, "cell", "left").select("cell", F.coalesce("source", F.lit("global")).alias("source"))
+
+
+@query(f"WITH {RISK_A}, p AS (SELECT {PERCENT.format(v='a', m='(SELECT max(a) FROM risk_a)')} AS p FROM risk_a) SELECT CASE WHEN p >= 75 THEN 'high' WHEN p >= 40 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM p GROUP BY 1")
+def percent_bands(spark, d):
+    rows = risk.with_percent(T.risk_a(spark, d), "a")
+    return rows.groupBy(X.percent_band("risk_percent").alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey AS cell FROM customer ORDER BY ((c_custkey + 42) * 2654435761) % 4294967296, c_custkey LIMIT 50")
+def seeded_sample(spark, d):
+    return risk.hash_sample(T.table(spark, d, "customer").select(F.col("c_custkey").alias("cell")), 50)
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')) AS both_, (SELECT count(*) FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')) AS only_first, (SELECT count(*) FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')) AS either")
+def set_operations(spark, d):
+    orders = T.table(spark, d, "orders").where("o_orderstatus in ('F', 'P')")
+    # one aggregation with two flags answers intersect, except and union at once
+    flags = orders.groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus") == "F").alias("f"), F.bool_or(F.col("o_orderstatus") == "P").alias("p"))
+    return flags.agg(F.count_if(F.col("f") & F.col("p")).alias("both_"), F.count_if(F.col("f") & ~F.col("p")).alias("only_first"), F.count(F.lit(1)).alias("either"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC) AS k FROM lineitem) WHERE k = 1")
+def dedupe_keep_last(spark, d):
+    rows = T.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey")
+    return risk.keep_one(rows, ["l_orderkey", "l_linenumber"], "l_shipdate")
+
+
+@query("WITH s AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS sd FROM lineitem) SELECT l_returnflag, count(*) AS n, round(avg((l_quantity - m) / sd), 6) AS mean_z, round(max((l_quantity - m) / sd), 6) AS max_z FROM lineitem, s GROUP BY 1")
+def standardised_columns(spark, d):
+    rows = models.standardised(T.table(spark, d, "lineitem").select("l_returnflag", "l_quantity"), ["l_quantity"]).groupBy("l_returnflag")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean_z"), F.round(F.max("l_quantity"), 6).alias("max_z"))
+
+
+@query(f"WITH {WEATHER} SELECT district, state, count(*) AS days, count(*) - count(rain) AS missing, round(CAST(count(*) - count(rain) AS DOUBLE) / count(*) * 100, 4) AS missing_percent FROM weather GROUP BY 1, 2")
+def missing_rain(spark, d):
+    missing = F.count_if(F.col("rain").isNull())
+    rows = T.weather_daily(spark, d).groupBy(*KEYS)
+    return rows.agg(F.count(F.lit(1)).alias("days"), missing.alias("missing"), F.round(X.ratio(missing, F.count(F.lit(1))) * 100, 4).alias("missing_percent"))
+
+
+@query(f"WITH {PANEL} SELECT week, (week + 2) % 52 + 1 AS target_week, count(*) AS n FROM panel GROUP BY 1, 2", week="INTEGER", target_week="INTEGER")
+def target_weeks(spark, d):
+    return T.cell_panel(spark, d).groupBy("week", X.target_week("week", 3).alias("target_week")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {GI} SELECT CAST(floor(least(1.0, greatest(0.0, (z + 2.0) / 6.0)) * 255) AS INTEGER) AS red, count(*) AS n FROM gi GROUP BY 1")
+def heat_colours(spark, d):
+    return gi_scores(spark, d).groupBy(X.z_colour("z").alias("red")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {WEEKS} SELECT state, week, sin_week FROM (SELECT state, weekofyear(monday) AS week, round(sin(2.0 * pi() * weekofyear(monday) / 52.0), 6) + 0.0 AS sin_week, sum(cases) AS s FROM dense GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY state ORDER BY s DESC, week) = 1", week="INTEGER")
+def peak_week(spark, d):
+    rows = dense_cases(spark, d).groupBy("state", X.iso_week("monday").alias("week")).agg(F.sum("cases").alias("s"))
+    best = risk.top_of_group(rows, ["state"], "s", "week")
+    return best.select("state", "week", (F.round(X.season("week")[0], 6) + 0.0).alias("sin_week"))
+
+
+@query()
+def polygon_cells(spark, d):
+    return spatial.cells_of_polygons(wards(spark), ["ward_id"])
+
+
+@query()
+def spatial_holdout(spark, d):
+    return T.places(spark, d).select("district", "state", panel.spatial_holdout(KEYS).alias("is_spatial_holdout"))
+
+
+@query()
+def p_values(spark, d):
+    return gi_scores(spark, d).select("cell", F.round("z", 6).alias("z"), F.round(X.normal_p_value("z"), 6).alias("p"))
+
+
 # ---- models ------------------------------------------------------------------------------------
 
 
@@ -785,6 +877,14 @@ def rf_score(spark, d):
     return _tree_scores(spark, d, "rf", numTrees=10)
 
 
+@query()
+def benchmark_gate(spark, d):
+    """Whether the boosted model beats the seasonal mean, with both r2."""
+    tree = evaluate.regression_metrics(_tree_scores(spark, d, "gbt", maxIter=10).withColumn("k", F.lit(1)), ["k"], "cases_lead_1", "pred").select(F.col("r2").alias("tree_r2"))
+    base = seasonal_baseline_metrics(spark, d).select(F.col("r2").alias("seasonal_r2"))
+    return tree.join(base).withColumn("passes", F.col("tree_r2") > F.col("seasonal_r2"))
+
+
 @query()
 def ablation(spark, d):
     rows = training_panel(spark, d)
