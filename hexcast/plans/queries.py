@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hexcast.functions import exprs as X
-from hexcast.operators import alerts, evaluate, explain, models, panel, risk, search, spatial
+from hexcast.operators import alerts, evaluate, explain, models, panel, risk, search, spatial, treeshap
 from hexcast.session import shared_folder
 from hexcast.sources import tables as T
 from hexcast.streaming import weekly as stream
@@ -877,6 +877,16 @@ def rf_score(spark, d):
     return _tree_scores(spark, d, "rf", numTrees=10)
 
 
+@query()
+def tree_shap(spark, d):
+    rows = training_panel(spark, d)
+    features = models.feature_columns(rows)
+    model = models.fit_delta(rows.where("year < 1999"), features, "cases_lead_1", "cases_lag_1", maxIter=5, maxDepth=3)
+    # the latest week only: contributions are wanted for what is served
+    latest = models.with_missing(risk.latest_period(rows), features)
+    return treeshap.shap_values(model, latest, features, ["district", "state"])
+
+
 @query()
 def benchmark_gate(spark, d):
     """Whether the boosted model beats the seasonal mean, with both r2."""

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hexcast.functions import exprs as X
-from hexcast.operators import alerts, evaluate, explain, models, panel, risk, search, spatial
+from hexcast.operators import alerts, evaluate, explain, models, panel, risk, search, spatial, treeshap
 from hexcast.sources import files
 from hexcast.sources import tables as T
 from hexcast.streaming import weekly
@@ -303,3 +303,17 @@ def test_partitions_do_not_change_results(spark, data):
     rows = T.cells(spark, data).join(T.risk_a(spark, data), "cell")
     pick = lambda df: sorted(risk.top_of_group(df.select("district", "state", "cell", "a"), ["district", "state"], "a").collect())
     assert pick(rows) == pick(rows.repartition(7, "cell"))
+
+
+@pytest.mark.parametrize("kind", ["gbt", "rf"])
+def test_tree_contributions_add_up(spark, kind):
+    rows = spark.range(300).select("id", *[(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(50)) / 10.0).alias(f"x{k}") for k in range(4)], F.lit(0.0).alias("base"))
+    rows = rows.withColumn("y", F.col("x0") * F.col("x1") + F.when(F.col("x2") > 2, 3.0).otherwise(0.0))
+    features = ["x0", "x1", "x2", "x3"]
+    params = {"maxIter": 4, "maxDepth": 4} if kind == "gbt" else {"numTrees": 4, "maxDepth": 4}
+    model = models.fit_delta(rows, features, "y", "base", kind, **params)
+    pdf = model.transform(models.with_missing(rows, features)).toPandas()
+    values, expected = treeshap.contributions(treeshap.ensemble_leaves(model.stages[-1]), pdf[features].to_numpy())
+    assert np.allclose(values.sum(1) + expected, pdf["__change"])
+    long = treeshap.shap_values(model, rows, features, ["id"])
+    assert long.count() == 1200 and explain.global_importance(long, []).orderBy("rank").first()["feature"] in ("x0", "x1")
