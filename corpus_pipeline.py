@@ -15,7 +15,7 @@ from hexcast.llm.jaccard import similar_classes
 from hexcast.llm.linededup import dedup_lines
 from hexcast.llm.packing import pack_lengths, token_pieces
 from hexcast.llm.queries import END_ID, SEQUENCE, toxicity_scorer
-from hexcast.llm.shared import documents, without_keys, written
+from hexcast.llm.shared import documents, forget, without_keys, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,4 +68,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        forget(spark, but=docs)
     return docs

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 #: 64-bit words of the broadcast key filter: 131,072 rows whatever the input holds.
 FILTER_WORDS = 1 << 17
+#: Folders that written() has made in this process.
+_TABLES: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,9 +41,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, but: DataFrame | None = None) -> None:
+    """Delete the tables that written() has made, except those that `but` reads.
+
+    Call it when a result has been written: results are lazy and read these tables until then.
+    """
+    used = {f.split("/part-")[0].rsplit("/", 1)[-1] for f in but.inputFiles()} if but is not None else set()
+    kept = [p for p in _TABLES if p.rsplit("/", 1)[-1] in used]
+    for p in set(_TABLES) - set(kept):
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _TABLES[:] = kept
+
+
 def in_order(items: DataFrame, *order: str) -> DataFrame:
     """Range-partition items by the order columns and write them with their place.
 

@@ -344,3 +344,15 @@ def test_extract_text_keeps_rows(spark):
 def test_crc_is_unsigned_little_endian(spark):
     ids = np.array([1, 70000], "<u4").tobytes()
     assert spark.createDataFrame([(bytearray(ids),)], "b binary").select(F.crc32("b")).first()[0] == zlib.crc32(ids)
+
+
+def test_forget_deletes_all_but_what_is_read(spark):
+    from hexcast.llm import shared
+
+    a, b = shared.written(spark.range(3).toDF("x"), "one"), shared.written(spark.range(4).toDF("x"), "two")
+    shared.forget(spark, but=b)
+    assert b.count() == 4 and len(shared._TABLES) == 1
+    with pytest.raises(Exception, match="(?i)exist"):
+        a.count()
+    shared.forget(spark)
+    assert not shared._TABLES
