@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hexcast.functions.exprs import col, ratio
+from hexcast.session import materialised
 
 
 def with_splits(rows: DataFrame, holdout: str, names: tuple[str, str, str] = ("all", "holdout", "seen")) -> DataFrame:
@@ -83,34 +84,43 @@ def width_quantiles(rows: DataFrame, low: str, high: str) -> DataFrame:
     return q.select("mean", *[F.col("q")[k].alias(n) for k, n in enumerate(points)])
 
 
-def average_rank(value: str) -> Column:
-    """Rank with ties at their mean; the whole relation is one window, so use it on aggregated rows."""
-    w = Window.orderBy(value)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(value)) - 1) / 2.0
+def global_rank(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Add the position (from 1) in a total order of all rows.
 
+    Rows are range-partitioned by the order and written once; partitions are then numbered from their
+    counts, one row for each partition, and ranked within themselves. No task sees the whole relation.
+    """
+    ranged = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
+    ranged = materialised(ranged.withColumn("__part", F.spark_partition_id()))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    bases = bases.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
+    placed = ranged.join(F.broadcast(bases), "__part")
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return placed.withColumn(name, F.col("__base") + own).drop("__part", "__base")
 
-def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: Pearson and Spearman correlation.
 
-    Ranks come from the counts of distinct values: cumulative counts over them, joined back to the rows.
-    """
-    def ranked(df: DataFrame, c: str) -> DataFrame:
-        counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
-        upto = F.sum("__n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        ranks = counts.select(c, (upto - (F.col("__n") - 1) / 2.0).alias(f"__rank_{c}"))
-        return df.join(ranks, c)
+def with_average_rank(rows: DataFrame, value: str, key: str, name: str) -> DataFrame:
+    """Add the rank of a value, ties at their mean."""
+    ranked = global_rank(rows, [F.asc(value), F.asc(key)], "__rank")
+    ties = ranked.groupBy(value).agg(F.avg("__rank").alias(name))
+    return ranked.drop("__rank").join(ties, value)
 
-    both = ranked(ranked(rows.select(a, b), a), b)
-    return both.agg(correlation(a, b).alias("pearson"), correlation(f"__rank_{a}", f"__rank_{b}").alias("spearman"))
+
+def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: Pearson and Spearman correlation (average ranks on ties)."""
+    keyed = rows.select(a, b).withColumn("__key", F.monotonically_increasing_id())
+    both = with_average_rank(with_average_rank(keyed, a, "__key", "__ra"), b, "__key", "__rb")
+    return both.agg(correlation(a, b).alias("pearson"), correlation("__ra", "__rb").alias("spearman"))
 
 
 def top_share_overlap(rows: DataFrame, a: str, b: str, key: str, share: float = 0.1) -> DataFrame:
     """One row: how many of the top share by a are also in the top share by b."""
     n = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(share) * F.count(F.lit(1))).cast("long"))
-    size = rows.agg(n.alias("__n"))
-    cut = lambda c, name: rows.select(key, F.row_number().over(Window.orderBy(F.desc(c), key)).alias("__k")).join(F.broadcast(size)).where("__k <= __n").select(key, F.col("__n").alias(name))
-    both = cut(a, "size").join(cut(b, "other"), key)
-    return both.agg(F.count(F.lit(1)).alias("common"), F.max("size").alias("size")).withColumn("overlap", F.round(ratio("common", "size"), 4))
+    ranked = global_rank(global_rank(rows.select(key, a, b), [F.desc(a), F.asc(key)], "__ra"), [F.desc(b), F.asc(key)], "__rb")
+    counted = ranked.join(F.broadcast(rows.agg(n.alias("size"))))
+    common = F.count_if((F.col("__ra") <= F.col("size")) & (F.col("__rb") <= F.col("size")))
+    return counted.agg(common.alias("common"), F.max("size").alias("size")).withColumn("overlap", F.round(ratio("common", "size"), 4))
 
 
 def profile(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, app: str = "hexcast", **conf: str) -> SparkSession:
@@ -26,3 +27,10 @@ def session(master: str | None = None, app: str = "hexcast", **conf: str) -> Spa
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is set (single machine)."""
     return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/hexcast").rstrip("/")
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: later steps see the same rows, whatever is lost."""
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
