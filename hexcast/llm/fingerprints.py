@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hexcast.llm.shared import key_filter, maybe_with_keys, width, written
+from hexcast.llm.shared import key_filter, maybe_with_keys, small_batches, width, written
 
 
 def canonical(text: str) -> bytes:
@@ -47,6 +47,7 @@ def _digests(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, row, text): row tells apart different texts of one key."""
+    small_batches(docs.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))
     return docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(whole).alias("row"), whole.alias("text"))
 

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hexcast.llm.shared import small_batches
+
 # fixed values: element names of HTML
 _SKIPPED = ("script", "style", "template", "noscript", "svg", "iframe", "object", "canvas", "video", "audio", "head", "textarea", "select", "title")
 _BLOCKS = frozenset(
@@ -242,6 +244,8 @@ def extract_text(pages: DataFrame, page: str = "html") -> DataFrame:
     are replaced. Each page is handled alone, as a whole.
     """
 
+    small_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def extract(pages_: pd.Series) -> pd.Series:
         return pages_.map(main_text)

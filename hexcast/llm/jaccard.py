@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexcast.llm.shared import components, key_filter, maybe_with_keys, width, written
+from hexcast.llm.shared import components, key_filter, maybe_with_keys, small_batches, width, written
 from hexcast.llm.wordhash import mix, sequence_hashes, shingle_hashes, slices, word_hashes
 
 BLOCK = 512
@@ -139,6 +139,7 @@ def similar_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, key
         some = links > 0
         yield pd.DataFrame({"node": nodes[some], "links": links[some].astype(np.int64), "root": nodes[root[some]]})
 
+    small_batches(docs.sparkSession)
     n = width(docs.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))
     source = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(whole).alias("row"), whole.alias("text"))

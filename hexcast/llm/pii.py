@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexcast.llm.shared import written
+from hexcast.llm.shared import small_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
 TRAINING_SPANS = 4000
@@ -205,6 +205,7 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             yield pd.DataFrame({"doc_id": batch["key"], "uid": task + done + np.arange(n), "base": base, "extra": extra})
             done += n
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     fields = "array<struct<start: int, end: int, kind: string, features: array<double>>>"
     scanned = written(rows.mapInPandas(scan, f"doc_id long, uid long, base array<{span}>, extra {fields}"), "pii")

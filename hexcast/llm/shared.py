@@ -24,6 +24,12 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once: rows and bytes of the Arrow batches of this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a local one only where none is set (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hexcast.llm.shared import width
+from hexcast.llm.shared import small_batches, width
 from hexcast.llm.simple8b import pack_ids, unpack_ids
 
 SEGMENT_IDS = 1 << 20
@@ -67,6 +67,7 @@ def write_token_files(
         if ids:
             yield row()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.monotonically_increasing_id())
     rows = rows.repartitionByRange(width(docs.sparkSession), "key", "tie").sortWithinPartitions("key", "tie")
@@ -94,6 +95,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     "ids": [data[4 * (b - n) : 4 * b] for b, n in zip(stops.tolist(), sizes.tolist(), strict=True)],
                 })
 
+    small_batches(spark)
     segments = spark.read.schema(_SEGMENT).parquet(path)
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per written partition: bounded by the partition count

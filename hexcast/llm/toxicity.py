@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexcast.llm.shared import written
+from hexcast.llm.shared import small_batches, written
 
 #: Labelled rows that lexicon, trees and calibration are fitted on: a hash sample of about this size at most.
 FIT_ROWS = 30_000
@@ -106,6 +106,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     every score is that kind's share. Null texts count as empty. Existing columns score and predicted are
     replaced.
     """
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("double").alias("__label"))
     n, bad = known.agg(F.count(F.lit(1)), F.sum("__label")).first()
     bad = bad or 0.0
