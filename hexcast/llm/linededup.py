@@ -1,14 +1,13 @@
-"""Operator 8, line dedup: content-defined chunks of lines, removed where they repeat globally.
+"""Operator 8, line dedup: runs of lines, removed where they repeat globally.
 
-Built from DataFrame functions only. Boundaries depend on line contents alone, so an inserted line moves
-no boundary further on:
+Built from DataFrame functions only. A run is the shortest sequence of whole lines from a given first line,
+or up to a given last line, that is long enough to count: two or more lines of together RUN_CHARS, or one
+line of PASSAGE_CHARS or of more than PASSAGE_WORDS words. Every line begins one run and ends one, so the
+runs inside a repeated passage cover all its lines, whatever its lines' lengths and whatever surrounds it.
 
-- a line of PASSAGE_CHARS or more is a chunk of its own (a paragraph-like passage);
-- after any other line a chunk ends where the rolling hash over it and the line before is 0 modulo CUT.
-
-Chunks of two or more lines with at least CHUNK_CHARS characters, and passages, are removed wherever an
-earlier equal chunk exists; the first in ascending (doc_id, row hash, position) stays. Equal hashes are
-confirmed by comparing the bytes with the first occurrence.
+A run is removed wherever an earlier equal one exists; the first in ascending (doc_id, row hash, position)
+stays, and so do repeats in the same document that overlap it. Equal hashes are confirmed by comparing the
+bytes with the first occurrence. Parts of a line are never removed.
 """
 
 from __future__ import annotations
@@ -19,72 +18,71 @@ from pyspark.sql import functions as F
 from hexcast.llm.shared import key_filter, maybe_with_keys, written
 
 PASSAGE_CHARS = 160
-CHUNK_CHARS = 80
-CUT = 3
+PASSAGE_WORDS = 50
+RUN_CHARS = 80
+
+#: One long line, and two or more lines; each begins where the pattern is tried.
+_ONE = rf"[^\n]{{{PASSAGE_CHARS},}}+|(?=[^\n]{{0,{PASSAGE_CHARS - 1}}}(?![^\n]))(?:[^\S\n]*+\S++){{{PASSAGE_WORDS + 1}}}[^\n]*+"
+_MORE = rf"[^\n]{{{RUN_CHARS},}}+\n[^\n]*+|(?=[^\n]{{0,{RUN_CHARS - 1}}}+\n).{{{RUN_CHARS}}}[^\n]*+"
+#: Group 1 is the run from a line on. Lines without one are the last of a text, so the k-th match is line k's.
+_RUN = rf"(?s)(?<![^\n])(?=({_ONE}|{_MORE}))[^\n]*+\n?"
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _with_chunks(rows: DataFrame) -> DataFrame:
-    """Add __chunks (array<array<string>>) from the array __lines.
-
-    One column at a time: an expression inside a lambda would be evaluated anew for each line.
-    """
-    lines = F.col("__lines")
-    passage = lambda i: F.length(F.get(lines, i)) >= PASSAGE_CHARS
-
-    def begins(i: Column) -> Column:
-        cut = F.pmod(F.xxhash64(F.coalesce(F.get(lines, i - 2), F.lit("")), F.get(lines, i - 1)), F.lit(CUT)) == 0
-        return (i == 0) | passage(i) | passage(i - 1) | cut
-
-    starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), begins)
-    rows = rows.withColumn("__starts", starts)
-    end = lambda k: F.coalesce(F.get(F.col("__starts"), k + 1), F.size(lines))
-    return rows.withColumn("__chunks", F.transform("__starts", lambda s, k: F.slice(lines, s + 1, end(k) - s))).drop("__starts")
-
-
-def _removable(chunk: Column, text: Column) -> Column:
-    return F.when(F.size(chunk) > 1, F.length(text) >= CHUNK_CHARS).otherwise(F.length(text) >= PASSAGE_CHARS)
+def _line_ends(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """One row for each removable chunk: place, its hash and its text."""
-    # the outer form: for posexplode, Spark would push a filter with the whole chunk expression to the scan
-    chunks = docs.select("__key", "__row", F.posexplode_outer("__chunks").alias("__pos", "__chunk"))
-    chunks = chunks.withColumn("__text", F.array_join("__chunk", "\n")).where(_removable(F.col("__chunk"), F.col("__text")))
-    place = F.struct("__key", "__row", "__pos")
-    return chunks.select(place.alias("__place"), F.xxhash64("__text").alias("__hash"), "__text")
+    """One row for each run of __whole: place, hash, text (of runs up to a line, backwards) and lines less one.
+
+    Runs of one line are the same in both directions and are taken forwards only.
+    """
+    runs = lambda text: F.regexp_extract_all(text, F.lit(_RUN), F.lit(1))
+    each = lambda back: lambda run, k: F.struct(F.lit(back).alias("back"), k.alias("at"), run.alias("text"))
+    docs = docs.withColumn("__from", runs(F.col("__whole"))).withColumn("__upto", runs(F.reverse("__whole")))
+    both = F.concat(F.transform("__from", each(False)), F.transform("__upto", each(True)))
+    # the outer form: for explode, Spark would push a filter with the whole expression to the scan
+    rows = docs.select("__key", "__row", _line_ends(F.col("__whole")).alias("__last"), F.explode_outer(both).alias("__run"))
+    rows = rows.select("__key", "__row", "__last", "__run.*").withColumn("__more", _line_ends(F.col("text")))
+    rows = rows.where("text is not null and (not back or __more > 0)")
+    pos = F.when(F.col("back"), F.col("__last") - F.col("at") - F.col("__more")).otherwise(F.col("at"))
+    place = F.struct("__key", "__row", pos.alias("__pos"))
+    return rows.select(place.alias("__place"), F.xxhash64("text", "back").alias("__hash"), F.col("text").alias("__text"), "__more")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Replace text by its lines without globally repeated chunks, and add lines_removed (long).
+    """Replace text by its lines without globally repeated runs, and add lines_removed (long).
 
-    Every row stays, with its other columns; a text whose chunks all repeat becomes empty. Null texts
+    Every row stays, with its other columns; a text whose lines all repeat becomes empty. Null texts
     stay null with 0 lines removed, empty texts stay empty; null keys sort first. Rows with equal key and
     text are one document: all get the same result. An existing column lines_removed is replaced.
     """
     kept = [c for c in docs.columns if c != "lines_removed"]
     rows = docs.select(*kept).withColumn("__row", F.xxhash64(key, text))
-    cut = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), "__row", _lines(F.col(text)).alias("__lines"))
-    cut = _with_chunks(cut).drop("__lines")
+    cut = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), "__row", F.col(text).alias("__whole"))
 
     places = _occurrences(cut).groupBy("__hash").agg(F.min("__place").alias("__first"), F.max("__place").alias("__last"))
-    repeated = written(places.where("__first <> __last").select("__hash", "__first"), "chunks")
+    repeated = written(places.where("__first <> __last").select("__hash", "__first"), "runs")
     texts = maybe_with_keys(_occurrences(cut), "__hash", key_filter(repeated, "__hash"))
-    texts = written(texts.join(repeated, "__hash"), "chunk-texts")
+    texts = written(texts.join(repeated, "__hash"), "run-texts")
     first = texts.where("__place = __first").select("__hash", F.col("__text").cast("binary").alias("__bytes")).distinct()
-    same = texts.where("__place <> __first").join(written(first, "chunk-firsts"), "__hash")
-    same = same.where(F.col("__text").cast("binary") == F.col("__bytes")).select("__place.*")
-    gone = same.groupBy("__key", "__row").agg(F.collect_set("__pos").alias("__gone"))
+    same = texts.where("__place <> __first").join(written(first, "run-firsts"), "__hash")
+    same = same.where(F.col("__text").cast("binary") == F.col("__bytes"))
+    own = F.col("__place.__key").eqNullSafe(F.col("__first.__key")) & (F.col("__place.__row") == F.col("__first.__row"))
+    same = same.where(~(own & (F.col("__place.__pos") <= F.col("__first.__pos") + F.col("__more")))).select("__place.*", "__more")
+    gone = same.groupBy("__key", "__row").agg(F.collect_set(F.struct("__pos", "__more")).alias("__gone"))
 
     # the removals of a partition are far smaller than its texts: hash them instead of sorting the texts
     gone = written(gone, "removals").withColumnRenamed("__row", "__row2").hint("shuffle_hash")
     out = rows.join(gone, (F.col("__row") == F.col("__row2")) & F.col(key).eqNullSafe(F.col("__key")), "left")
     out = out.withColumn("__lines", F.when(F.col("__gone").isNotNull(), _lines(F.col(text))))
-    out = _with_chunks(out)
-    out = out.withColumn("__left", F.flatten(F.filter("__chunks", lambda _, i: ~F.array_contains(F.col("__gone"), i))))
+    numbers = F.flatten(F.transform("__gone", lambda g: F.sequence(g["__pos"], g["__pos"] + g["__more"])))
+    out = out.withColumn("__left", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), numbers))
+    out = out.withColumn("__left", F.transform("__left", lambda k: F.get(F.col("__lines"), k)))
     short = F.array_join("__left", "\n")
     columns = [F.coalesce(short, F.col(text)).alias(text) if c == text else F.col(c) for c in kept]
     removed = F.coalesce(F.size("__lines") - F.size("__left"), F.lit(0)).cast("long")

@@ -160,6 +160,28 @@ def test_line_dedup_against_brute_force(spark):
     assert dedup_lines(docs(spark, [])).count() == 0 and "lines_removed" in dedup_lines(docs(spark, ["a"]).withColumn("lines_removed", F.lit(9))).columns
 
 
+def test_line_dedup_of_short_lines_in_other_surroundings(spark):
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    around = lambda: [line(rng.randrange(1, 12)) for _ in range(rng.randrange(1, 6))]
+    texts, want = [], []
+    for n, size in [(3, 18), (4, 14), (5, 11), (6, 10), (8, 7), (10, 10), (10, 6), (1, 60)] * 5:
+        passage = [line(size) for _ in range(n)]
+        for k in range(3):
+            before, after = around(), around()
+            texts.append("\n".join(before + passage + after))
+            want.append((texts[-1], 0) if k == 0 else ("\n".join(before + after), n))
+    uneven = [line(20), line(15), "", line(2), line(9), line(1), line(8), line(3)]
+    tiny = " ".join("a" * 51)  # 101 characters
+    texts += ["\n".join(["p", *uneven, "q"]), "\n".join(["r", "s", *uneven]), f"t\n{tiny}", f"{tiny}\nu", "\n".join(["echo echo"] * 30)]
+    want += [(texts[-5], 0), ("r\ns", 8), (texts[-2 - 1], 0), ("u", 1), ("\n".join(["echo echo"] * 9), 21)]
+    found = dedup_lines(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [(r["text"], r["lines_removed"]) for r in found] == want
+
+
 def test_line_dedup_has_no_python(spark):
     plan = dedup_lines(docs(spark, ODD))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
