@@ -27,6 +27,31 @@ def test_decontamination_recall(spark, data):
     assert len(found - want) <= 0.1 * len(found)
 
 
+def test_decontamination_of_frequent_words_without_the_rarest(spark):
+    import random
+    from collections import Counter
+
+    from hexcast.llm.decontaminate import contaminated
+
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(600)]
+    texts = [rng.choices(vocabulary, k=70) for _ in range(300)]  # each word in about a tenth of them
+    share = Counter(w for t in texts for w in set(t))
+    items, want = [], set()
+    while len(items) < 40:
+        item = rng.sample(vocabulary, 20)
+        rare = sorted(item, key=lambda w: share[w])[:5]
+        if sum(w in rare for w in item[-ANSWER_WORDS:]) <= 3:
+            host = 2 * len(items)
+            texts[host][20:20] = [f"new{rng.random()}"[5:] if w in rare else w for w in item]
+            want.add((host, len(items)))
+            items.append(item)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench).collect()}
+    assert len(want & found) >= 0.9 * len(want) and len(found - want) <= 0.1 * len(found)
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
