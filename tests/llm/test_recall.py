@@ -52,6 +52,23 @@ def test_decontamination_of_frequent_words_without_the_rarest(spark):
     assert len(want & found) >= 0.9 * len(want) and len(found - want) <= 0.1 * len(found)
 
 
+def test_decontamination_of_many_short_items(spark):
+    import random
+
+    from hexcast.llm.decontaminate import contaminated
+
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    items = [rng.choices(vocabulary, k=rng.randrange(8, 11)) for _ in range(2000)]
+    texts = [rng.choices(vocabulary, k=120) for _ in range(200)]
+    for k, t in enumerate(texts):
+        t[50:50] = items[k]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench).collect()}
+    assert found >= {(k, k) for k in range(200)} and len(found) <= 220
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
