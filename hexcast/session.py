@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,8 +26,13 @@ def session(master: str | None = None, app: str = "hexcast", **conf: str) -> Spa
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (single machine)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/hexcast").rstrip("/")
+    """The folder that driver and executors share; where none is set, a local one for a local master only."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{tempfile.gettempdir()}/hexcast"
+    return shared.rstrip("/")
 
 
 def materialised(df: DataFrame) -> DataFrame:
