@@ -2,11 +2,13 @@
 
 A text is cut into the pre-tokens of the tokenizer's own pattern with array operations over code
 points, pre-tokens are looked up by a 64-bit hash, and only unseen ones go to the tokenizers library.
-Texts that hold apostrophes, control characters or code points from U+0250 on go to the library whole.
+Texts that hold apostrophes, control characters, code points from U+0250 on or the name of a special token go
+to the library whole and unchanged. Only files with one of the two layouts in LAYOUTS are accepted.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 
@@ -29,6 +31,17 @@ def _code_class(c: int) -> int:
     return {"L": LETTER, "N": NUMBER}.get(kind[0], OTHER)
 
 
+# fixed values: the settings of the two kinds of tokenizer file whose pre-tokens are cut here
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+LAYOUTS = {
+    "byte": (None, {**_BYTES, "use_regex": True}, None),
+    "word": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}, {**_BYTES, "use_regex": False}]},
+        "</w>",
+    ),
+}
 CLASSES = np.array([_code_class(c) for c in range(_TOP)] + [RARE], np.uint8)
 #: the byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -44,19 +57,39 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def special_names(path: str, kind: str) -> list[str]:
+    """The special tokens of a tokenizer file; ValueError unless the file has the layout of this kind."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    model = found["model"]
+    layout = (found.get("normalizer"), found.get("pre_tokenizer"), model.get("end_of_word_suffix"))
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    added = found.get("added_tokens", [])
+    bare = all(t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
+    if kind not in LAYOUTS or layout != LAYOUTS[kind] or model["type"] != "BPE" or not plain or not bare:
+        raise ValueError(f"{path} is not a tokenizer file of the kind {kind!r}")
+    return [t["content"] for t in added]
+
+
 class TokenIds:
-    """Token ids of texts. kind: "byte" (byte-level pattern) or "word" (lower-cased words)."""
+    """Token ids of texts, as Tokenizer.encode(text, add_special_tokens=False) gives them.
+
+    kind: "byte" (byte-level pattern) or "word" (lower-cased words). With special_as_text the names of special
+    tokens in a text are ordinary text (the library's encode_special_tokens, as these files are documented);
+    without it they become the special ids.
+    """
 
-    GROUP = 1 << 19  # characters handled at a time
-    SLOTS = 21  # log2 of the cache's hash slots
-    ENTRIES = 600_000  # pre-tokens kept before the cache starts anew
+    GROUP = 1 << 18  # characters handled at a time
+    SLOTS = 20  # log2 of the cache's hash slots
+    ENTRIES = 300_000  # pre-tokens kept before the cache starts anew
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.special = special_names(path, kind)
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = special_as_text
         self.model = self.library.model
         self.kind = kind
         self._grow(self.GROUP + 1)
@@ -91,7 +124,12 @@ class TokenIds:
             held = 0
 
         for k, text in enumerate(texts):
-            text = text.lower() if self.kind == "word" else text
+            if any(name in text for name in self.special):
+                flush()
+                own = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+                out.append(own)
+                counts[k] = len(own)
+                continue
             at = 0
             while at < len(text):
                 end = self._cut(text, at)
@@ -113,7 +151,8 @@ class TokenIds:
             end = text.find(" ", end + 1)
         return len(text) if end == -1 else end
 
-    def _group(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _group(self, whole: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pieces = [p.lower() for p in whole] if self.kind == "word" else whole
         joined = "\0".join(pieces) + "\0"
         code = np.minimum(np.frombuffer(joined.encode("utf-32-le"), np.uint32), _TOP)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -121,7 +160,7 @@ class TokenIds:
         kinds = CLASSES[code]
         kinds[ends] = END
         if (kinds == RARE).any():
-            return self._with_rare(pieces, kinds, ends)
+            return self._with_rare(whole, kinds, ends)
         first, last = self._spans(kinds)
         if len(code) >= len(self.up):
             self._grow(len(code) + 1)
@@ -199,11 +238,13 @@ class TokenIds:
         return entry
 
 
-_CODERS: dict[tuple[str, str], TokenIds] = {}
+_CODERS: dict[tuple, TokenIds] = {}
 
 
-def token_ids(path: str, kind: str) -> TokenIds:
-    """One coder for each Python worker, kept between batches and tasks."""
-    if (path, kind) not in _CODERS:
-        _CODERS[path, kind] = TokenIds(path, kind)
-    return _CODERS[path, kind]
+def token_ids(path: str, kind: str, special_as_text: bool = True) -> TokenIds:
+    """The last coder used is kept between the batches and tasks of a Python worker."""
+    wanted = (path, kind, special_as_text)
+    if wanted not in _CODERS:
+        _CODERS.clear()
+        _CODERS[wanted] = TokenIds(*wanted)
+    return _CODERS[wanted]

@@ -65,6 +65,57 @@ def test_cached_ids_equal_the_library(name, kind):
     assert coder.encode(texts)[0].tolist() == [i for w in want for i in w]
 
 
+@pytest.mark.parametrize("as_text", [True, False])
+@pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_ids_equal_a_library_object_of_its_own(name, kind, as_text):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)  # as it comes, but for the special tokens' documented switch
+    library.encode_special_tokens = as_text
+    texts = [t or "" for t in ODD] + [
+        "ΟΔΟΣ ΣΑΣ", "ΣΑΣ.", "a<|endoftext|>b", "<|startoftext|><|endoftext|>", "it's DON'T 'Ll x''s", "e\u0301 é A\u030a Å", "İstanbul İ", "ǅ ǆ Straße", "1234 ½ ²³ ١٢", "\u200b\ufeff 𝐀𝐁 ﬁ", "x" * 300_000, "\x1c\x1d a\x85b",
+    ]
+    ids, n = textids.TokenIds(path, kind, as_text).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_unknown_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    with pytest.raises(ValueError, match="kind"):
+        textids.TokenIds(public_tokenizers.path("word_bpe_49k.json"), "byte")
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        other = json.load(f)
+    other["normalizer"] = {"type": "NFKC"}
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    with pytest.raises(ValueError, match="kind"):
+        textids.TokenIds(str(tmp_path / "other.json"), "byte")
+
+
+@pytest.mark.parametrize("query", ["op4_packing", "op10_token_files"])
+def test_id_queries_equal_the_library_on_a_table(spark, data, query):
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    from hexcast.llm.queries import QUERIES
+
+    table = pq.read_table(f"{data}/documents.parquet", columns=["doc_id", "text"]).sort_by("doc_id").to_pylist()
+    name, last = ("word_bpe_49k.json", 2) if query == "op4_packing" else ("byte_bpe_50k.json", 0)
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    want, at = [], 0
+    for r in table:
+        ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, last]
+        if query == "op4_packing":
+            want += [(r["doc_id"], k, len(ids[k : k + 4096]), crc(ids[k : k + 4096]), len(ids)) for k in range(0, len(ids), 4096)]
+        else:
+            want.append((r["doc_id"], at, len(ids), crc(ids)))
+            at += len(ids)
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] if query == "op4_packing" else ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert sorted(tuple(r) for r in QUERIES[query](spark, data).select(*columns).collect()) == sorted(want)
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(1)
     for values in ([], [0], [2**60 - 1], rng.integers(0, 2, 5000), rng.integers(0, 2**20, 3000), rng.zipf(1.3, 9000) % 2**31, [0] * 1024 + [7], [1] * 60 + [2**40]):
