@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hexcast.llm.shared import key_filter, maybe_with_keys, small_batches, width, written
+from hexcast.llm.shared import key_filter, lean, maybe_with_keys, small_batches, width, written
 
 
 def canonical(text: str) -> bytes:
@@ -42,7 +42,7 @@ def _digests(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["key"], "row": batch["row"], "digest": [digest(f) for f in forms]})
 
     rows = _rows(docs, key, text)
-    return rows.mapInPandas(each, "doc_id long, row long, digest string")
+    return rows.mapInPandas(lean(each), "doc_id long, row long, digest string")
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -70,7 +70,7 @@ def collisions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             each = [canonical(t) for t in batch["text"]]
             yield pd.DataFrame({"digest": [digest(f) for f in each], "row": batch["row"], "form": each})
 
-    bodies = texts.mapInPandas(forms, "digest string, row long, form binary")
+    bodies = texts.mapInPandas(lean(forms), "digest string, row long, form binary")
     bodies = written(bodies.join(shared, "digest"), "forms")
     first = bodies.where("row = first_row").groupBy("digest").agg(F.min("form").alias("first_form"))
     other = bodies.join(written(first, "first-forms"), "digest").where("form <> first_form")
@@ -147,7 +147,7 @@ def with_next(docs: DataFrame, make, schema: str, key: str = "doc_id", text: str
             low = batch["key"].groupby(blocks).agg(["min", lambda k: k.isna().any()])
             yield pd.DataFrame({"block": low.index, "low": low["min"].astype("Int64"), "has_null": low.iloc[:, 1].astype(bool)})
 
-    firsts = ids.mapInPandas(lowest, "block int, low long, has_null boolean").groupBy("block")
+    firsts = ids.mapInPandas(lean(lowest), "block int, low long, has_null boolean").groupBy("block")
     firsts = firsts.agg(F.min("low").alias("low"), F.max("has_null").alias("has_null")).orderBy("block").collect()
     homes = [r["block"] for r in firsts]  # one row for each block
     extra = {None if r["has_null"] else r["low"]: homes[k - 1] for k, r in enumerate(firsts)}
@@ -184,6 +184,6 @@ def with_next(docs: DataFrame, make, schema: str, key: str = "doc_id", text: str
             yield pd.DataFrame(out, columns=names)
 
     names = [c.split()[0] for c in schema.split(", ")]
-    dealt = _rows(docs, key, text).mapInPandas(deal, "key long, row long, text binary, block int, late int")
+    dealt = _rows(docs, key, text).mapInPandas(lean(deal), "key long, row long, text binary, block int, late int")
     dealt = dealt.repartition(n, "block").sortWithinPartitions("block", "late", "key", "row")
-    return dealt.mapInPandas(pairs, schema)
+    return dealt.mapInPandas(lean(pairs), schema)

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexcast.llm.shared import components, key_filter, maybe_with_keys, small_batches, width, written
+from hexcast.llm.shared import components, key_filter, lean, maybe_with_keys, small_batches, width, written
 from hexcast.llm.wordhash import mix, sequence_hashes, shingle_hashes, slices, word_hashes
 
 BLOCK = 512
@@ -143,7 +143,7 @@ def similar_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, key
     n = width(docs.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))
     source = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(whole).alias("row"), whole.alias("text"))
-    rows = written(source.mapInPandas(sketch, "doc_id long, row long, uid long, one long, two long, bands array<long>"), "sketches")
+    rows = written(source.mapInPandas(lean(sketch), "doc_id long, row long, uid long, one long, two long, bands array<long>"), "sketches")
 
     # one node for each word sequence
     place = F.struct("doc_id", "row", "uid")
@@ -166,12 +166,12 @@ def similar_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, key
     texts = maybe_with_keys(source, "row", key_filter(dealt, "row"))
     texts = texts.join(dealt, (texts["row"] == dealt["row"]) & texts["key"].eqNullSafe(dealt["doc_id"]))
     schema = "component long, blocks int, block int, node long, weight long"
-    ready = texts.select("component", "blocks", "block", "node", "weight", "text").mapInPandas(sets, f"{schema}, shingles binary")
+    ready = texts.select("component", "blocks", "block", "node", "weight", "text").mapInPandas(lean(sets), f"{schema}, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     ready = ready.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     ready = ready.select("component", "i", "j", "block", "node", "weight", "shingles")
     ready = ready.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    found = written(ready.mapInPandas(compare, "node long, links long, root long"), "links")
+    found = written(ready.mapInPandas(lean(compare), "node long, links long, root long"), "links")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))

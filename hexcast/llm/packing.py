@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hexcast.llm.shared import small_batches, width
+from hexcast.llm.shared import lean, small_batches, width
 from hexcast.llm.wordhash import slices
 
 
@@ -47,7 +47,7 @@ def token_pieces(
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInPandas(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    return rows.mapInPandas(lean(cut), "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
 def pack_histogram(counts: dict[int, int], size: int) -> pd.DataFrame:

@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexcast.llm.shared import small_batches, written
+from hexcast.llm.shared import lean, small_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
 TRAINING_SPANS = 4000
@@ -208,7 +208,7 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     fields = "array<struct<start: int, end: int, kind: string, features: array<double>>>"
-    scanned = written(rows.mapInPandas(scan, f"doc_id long, uid long, base array<{span}>, extra {fields}"), "pii")
+    scanned = written(rows.mapInPandas(lean(scan), f"doc_id long, uid long, base array<{span}>, extra {fields}"), "pii")
     model, threshold = fit_selector(docs.sparkSession)
     found = scanned.select("uid", F.explode("extra").alias("c")).select("uid", "c.*")
     scored = model.transform(found.withColumn("features", array_to_vector("features")))

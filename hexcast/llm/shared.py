@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,12 +36,40 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function whose freed memory goes back to the system.
+
+    Python workers are reused; without this, each keeps the most that any earlier task needed. Large arrays
+    get their own mappings, and what Arrow and the allocator still hold is given up at the task's end.
+    """
+
+    @functools.wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        except (AttributeError, OSError):  # another C library: only the hints are lost
+            libc = None
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if libc:
+                libc.malloc_trim(0)
+
+    return run
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is set (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is set, a local folder serves a local master (one machine, as in tests); a cluster raises.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = f"file://{tempfile.gettempdir()}/hexcast-scratch"
-        spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
 
 

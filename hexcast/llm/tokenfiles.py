@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hexcast.llm.shared import small_batches, width
+from hexcast.llm.shared import lean, small_batches, width
 from hexcast.llm.simple8b import pack_ids, unpack_ids
 
 SEGMENT_IDS = 1 << 20
@@ -71,7 +71,7 @@ def write_token_files(
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.monotonically_increasing_id())
     rows = rows.repartitionByRange(width(docs.sparkSession), "key", "tie").sortWithinPartitions("key", "tie")
-    rows.select("key", "text").mapInPandas(encode, _SEGMENT).write.option("compression", "none").parquet(path)
+    rows.select("key", "text").mapInPandas(lean(encode), _SEGMENT).write.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -101,6 +101,6 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     # one row per written partition: bounded by the partition count
     bases = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
     bases = bases.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    rows = segments.mapInPandas(decode, "part int, doc_id long, start long, n_tokens long, ids binary")
+    rows = segments.mapInPandas(lean(decode), "part int, doc_id long, start long, n_tokens long, ids binary")
     rows = rows.join(F.broadcast(bases), "part")
     return rows.select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids")

@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexcast.llm.shared import small_batches, written
+from hexcast.llm.shared import lean, small_batches, written
 
 #: Labelled rows that lexicon, trees and calibration are fitted on: a hash sample of about this size at most.
 FIT_ROWS = 30_000
@@ -50,7 +50,7 @@ def learn_lexicon(labelled: DataFrame, text: str, label: str) -> dict[str, float
             yield counts.reset_index()
 
     rows = labelled.select(F.col(text).alias("text"), F.col(label).alias("label"))
-    counts = rows.mapInPandas(terms, "term string, toxic int, n long").groupBy("term")
+    counts = rows.mapInPandas(lean(terms), "term string, toxic int, n long").groupBy("term")
     counts = counts.agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
     sizes = rows.agg(F.sum(F.col("label").cast("double")).alias("bad"), F.count(F.lit(1)).alias("n")).first()
     bad, good = float(sizes["bad"] or 0), float((sizes["n"] or 0) - (sizes["bad"] or 0))

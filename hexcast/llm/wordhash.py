@@ -15,7 +15,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _TOP = 0x3001
 _WHITE = np.array([chr(c).isspace() for c in range(_TOP)] + [False])
 _NO_WORD = np.array([not chr(c).isalnum() for c in range(_TOP)] + [False])
-GROUP = 1 << 19
+GROUP = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,7 +61,7 @@ def pieces(texts: list[str], size: int = GROUP) -> Iterator[tuple[list[str], lis
         yield held, owners
 
 
-def slices(batches, column: str = "text", chars: int = 1 << 22) -> Iterator[pd.DataFrame]:
+def slices(batches, column: str = "text", chars: int = 1 << 20) -> Iterator[pd.DataFrame]:
     """The batches' rows in slices of about this many characters, so that arrays per word stay small."""
     for batch in batches:
         if len(batch):
