@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexcast.llm.shared import key_filter, maybe_with_keys, written
+from hexcast.llm.shared import key_filter, maybe_with_keys, split_by_filter, written
 
 PASSAGE_CHARS = 160
 PASSAGE_WORDS = 50
@@ -36,22 +36,35 @@ def _line_ends(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """One row for each run of __whole: place, hash, text (of runs up to a line, backwards) and lines less one.
+def _with_runs(docs: DataFrame) -> DataFrame:
+    """Add __from and __upto to rows of __whole: the runs from each line, and up to each line, as (at, more, text).
 
-    Runs of one line are the same in both directions and are taken forwards only.
+    at is the first line's number and more the number of further lines; the texts of __upto are backwards. A
+    run up to a line is left out where it is the run from its first line, as is nearly always so.
     """
     runs = lambda text: F.regexp_extract_all(text, F.lit(_RUN), F.lit(1))
-    each = lambda back: lambda run, k: F.struct(F.lit(back).alias("back"), k.alias("at"), run.alias("text"))
-    docs = docs.withColumn("__from", runs(F.col("__whole"))).withColumn("__upto", runs(F.reverse("__whole")))
+    run = lambda at, text: F.struct(at.alias("at"), _line_ends(text).alias("more"), text.alias("text"))
+    docs = docs.withColumn("__from", F.transform(runs(F.col("__whole")), lambda text, k: run(k, text)))
+    alone = F.forall("__from", lambda r: r["more"] == 1)  # then each run up to a line is one of these
+    docs = docs.withColumn("__back", F.when(alone, F.array().cast("array<string>")).otherwise(runs(F.reverse("__whole"))))
+    last = _line_ends(F.col("__whole"))
+    upto = F.transform("__back", lambda text, k: run((last - k - _line_ends(text)).cast("int"), text))
+    known = lambda r: F.coalesce(F.get("__from", r["at"])["more"] == r["more"], F.lit(False))
+    return docs.withColumn("__upto", F.filter(upto, lambda r: (r["more"] > 0) & ~known(r))).drop("__back", "__whole")
+
+
+def _hash_of(run: Column, back: bool) -> Column:
+    return F.xxhash64(run["text"], F.lit(back))
+
+
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """One row for each run: place, hash, text (of runs up to a line, backwards) and number of lines less one."""
+    each = lambda back: lambda r: F.struct(_hash_of(r, back).alias("hash"), r["at"].alias("at"), r["more"].alias("more"), r["text"].alias("text"))
     both = F.concat(F.transform("__from", each(False)), F.transform("__upto", each(True)))
     # the outer form: for explode, Spark would push a filter with the whole expression to the scan
-    rows = docs.select("__key", "__row", _line_ends(F.col("__whole")).alias("__last"), F.explode_outer(both).alias("__run"))
-    rows = rows.select("__key", "__row", "__last", "__run.*").withColumn("__more", _line_ends(F.col("text")))
-    rows = rows.where("text is not null and (not back or __more > 0)")
-    pos = F.when(F.col("back"), F.col("__last") - F.col("at") - F.col("__more")).otherwise(F.col("at"))
-    place = F.struct("__key", "__row", pos.alias("__pos"))
-    return rows.select(place.alias("__place"), F.xxhash64("text", "back").alias("__hash"), F.col("text").alias("__text"), "__more")
+    rows = _with_runs(docs).select("__key", "__row", F.explode_outer(both).alias("__run")).where("__run is not null")
+    place = F.struct("__key", "__row", F.col("__run.at").alias("__pos"))
+    return rows.select(place.alias("__place"), F.col("__run.hash").alias("__hash"), F.col("__run.text").alias("__text"), F.col("__run.more").alias("__more"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -59,31 +72,39 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     Every row stays, with its other columns; a text whose lines all repeat becomes empty. Null texts
     stay null with 0 lines removed, empty texts stay empty; null keys sort first. Rows with equal key and
-    text are one document: all get the same result. An existing column lines_removed is replaced.
+    text are one document: all get the same result. Texts of any length are handled whole, each within one
+    row. Existing columns lines_removed are replaced; others may have any name.
     """
     kept = [c for c in docs.columns if c != "lines_removed"]
-    rows = docs.select(*kept).withColumn("__row", F.xxhash64(key, text))
-    cut = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), "__row", F.col(text).alias("__whole"))
-
-    places = _occurrences(cut).groupBy("__hash").agg(F.min("__place").alias("__first"), F.max("__place").alias("__last"))
-    repeated = written(places.where("__first <> __last").select("__hash", "__first"), "runs")
+    rows = docs.select(F.struct(*kept).alias("__all"), F.col(key).alias("__key"), F.col(text).alias("__whole"))
+    rows = rows.withColumn("__row", F.xxhash64("__key", "__whole"))
+    cut = rows.where(F.col("__whole").isNotNull()).select("__key", "__row", "__whole")
+
+    hashes = lambda runs, back: F.transform(runs, lambda r: _hash_of(r, back))
+    every = _with_runs(cut).select(F.explode_outer(F.concat(hashes("__from", False), hashes("__upto", True))).alias("__hash"))
+    counts = every.groupBy("__hash").agg(F.count(F.lit(1)).alias("__n"))
+    repeated = written(counts.where("__n > 1 and __hash is not null").select("__hash"), "runs")
     texts = maybe_with_keys(_occurrences(cut), "__hash", key_filter(repeated, "__hash"))
-    texts = written(texts.join(repeated, "__hash"), "run-texts")
-    first = texts.where("__place = __first").select("__hash", F.col("__text").cast("binary").alias("__bytes")).distinct()
-    same = texts.where("__place <> __first").join(written(first, "run-firsts"), "__hash")
+    texts = written(texts.join(repeated, "__hash", "left_semi"), "run-texts")
+    first = texts.groupBy("__hash").agg(F.min(F.struct("__place", F.col("__text").cast("binary").alias("__bytes"))).alias("__f"))
+    first = first.select("__hash", F.col("__f.__place").alias("__first"), F.col("__f.__bytes").alias("__bytes"))
+    same = texts.join(written(first, "run-firsts"), "__hash").where("__place <> __first")
     same = same.where(F.col("__text").cast("binary") == F.col("__bytes"))
     own = F.col("__place.__key").eqNullSafe(F.col("__first.__key")) & (F.col("__place.__row") == F.col("__first.__row"))
     same = same.where(~(own & (F.col("__place.__pos") <= F.col("__first.__pos") + F.col("__more")))).select("__place.*", "__more")
     gone = same.groupBy("__key", "__row").agg(F.collect_set(F.struct("__pos", "__more")).alias("__gone"))
 
-    # the removals of a partition are far smaller than its texts: hash them instead of sorting the texts
-    gone = written(gone, "removals").withColumnRenamed("__row", "__row2").hint("shuffle_hash")
-    out = rows.join(gone, (F.col("__row") == F.col("__row2")) & F.col(key).eqNullSafe(F.col("__key")), "left")
-    out = out.withColumn("__lines", F.when(F.col("__gone").isNotNull(), _lines(F.col(text))))
+    # texts that the filter clears have nothing to lose and stay where they are; the others meet their removals,
+    # which are far smaller, so these are hashed instead of sorting the texts
+    gone = written(gone, "removals").select(F.col("__key").alias("__key2"), F.col("__row").alias("__row2"), "__gone")
+    cleared, maybe = split_by_filter(rows, "__row", key_filter(gone, "__row2"))
+    out = maybe.join(gone.hint("shuffle_hash"), (F.col("__row") == F.col("__row2")) & F.col("__key").eqNullSafe(F.col("__key2")), "left")
+    out = out.withColumn("__lines", F.when(F.col("__gone").isNotNull(), _lines(F.col("__whole"))))
     numbers = F.flatten(F.transform("__gone", lambda g: F.sequence(g["__pos"], g["__pos"] + g["__more"])))
     out = out.withColumn("__left", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), numbers))
     out = out.withColumn("__left", F.transform("__left", lambda k: F.get(F.col("__lines"), k)))
-    short = F.array_join("__left", "\n")
-    columns = [F.coalesce(short, F.col(text)).alias(text) if c == text else F.col(c) for c in kept]
     removed = F.coalesce(F.size("__lines") - F.size("__left"), F.lit(0)).cast("long")
-    return out.select(*columns, removed.alias("lines_removed"))
+    out = out.select("__all", F.coalesce(F.array_join("__left", "\n"), F.col("__whole")).alias("__short"), removed.alias("__removed"))
+    out = out.unionByName(cleared.select("__all", F.col("__whole").alias("__short"), F.lit(0).cast("long").alias("__removed")))
+    columns = [F.col("__short").alias(text) if c == text else F.col("__all").getField(c).alias(c) for c in kept]
+    return out.select(*columns, F.col("__removed").alias("lines_removed"))

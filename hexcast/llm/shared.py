@@ -162,6 +162,16 @@ def maybe_with_keys(rows: DataFrame, key: str, filter_: DataFrame) -> DataFrame:
     return joined.where(F.col("__bits").bitwiseAND(mask) == mask).drop("__word", "__bits")
 
 
+def split_by_filter(rows: DataFrame, key: str, filter_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is surely not in the filter, all others); null keys are among the first."""
+    bits = filter_.select(F.struct("__word", "__bits").alias("__filter"))
+    inner = rows.select(F.struct("*").alias("__row_of"), F.col(key).alias("__filter_key"))
+    flagged = inner.join(F.broadcast(bits), _filter_word(F.col("__filter_key")) == F.col("__filter.__word"), "left")
+    mask = _filter_mask(F.col("__filter_key"))
+    maybe = F.coalesce(F.col("__filter_key").isNotNull() & (F.col("__filter.__bits").bitwiseAND(mask) == mask), F.lit(False))
+    return flagged.where(~maybe).select("__row_of.*"), flagged.where(maybe).select("__row_of.*")
+
+
 def without_keys(rows: DataFrame, drop: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not among drop's; null keys stay.
 
@@ -169,11 +179,8 @@ def without_keys(rows: DataFrame, drop: DataFrame, key: str) -> DataFrame:
     exact anti join.
     """
     drop = written(drop.select(key).distinct(), "dropped")
-    flagged = rows.withColumn("__word", _filter_word(F.col(key))).join(F.broadcast(key_filter(drop, key)), "__word", "left")
-    mask = _filter_mask(F.col(key))
-    flagged = flagged.withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(mask) == mask, F.lit(False)))
-    passed = flagged.where(~F.col("__maybe")).select(*rows.columns)
-    return passed.unionByName(flagged.where("__maybe").select(*rows.columns).join(drop, key, "left_anti").select(*rows.columns))
+    passed, maybe = split_by_filter(rows, key, key_filter(drop, key))
+    return passed.unionByName(maybe.join(drop, key, "left_anti").select(*rows.columns))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
