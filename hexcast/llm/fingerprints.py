@@ -1,8 +1,9 @@
 """Operator 5, document fingerprints: exact digests of canonical texts.
 
-A canonical text is the NFKC form, case-folded, with every run of white space made one space and none at
-the ends. Its digest is the 128-bit xxhash; texts of equal digest are compared byte by byte, and should
-two different canonical texts ever share a digest, the later ones get a numbered suffix.
+A canonical text is the NFKC form, case-folded, both again until nothing changes, with every run of white
+space made one space and none at the ends. Its digest is the 128-bit xxhash; texts of equal digest are
+compared byte by byte, and should different canonical texts ever share a digest, a second digest with
+another seed is added to the fingerprints of all of them.
 """
 
 from __future__ import annotations
@@ -14,22 +15,29 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from hexcast.llm.shared import key_filter, lean, maybe_with_keys, small_batches, width, written
+from hexcast.llm.shared import key_filter, lean, maybe_with_keys, small_batches, split_by_filter, width, written
 
 
 def canonical(text: str) -> bytes:
-    """Canonical form of a text, as UTF-8."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-    return " ".join(text.casefold().split()).encode("utf-8", "surrogatepass")
+    """Canonical form of a text, as UTF-8; the canonical form of a canonical form is itself."""
+    if text.isascii():
+        text = text.lower()
+    else:  # folding may undo composition and the reverse
+        before = None
+        while text != before:
+            before, text = text, unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
+    return " ".join(text.split()).encode("utf-8", "surrogatepass")
 
 
 def digest(data: bytes) -> str:
     return xxhash.xxh3_128_hexdigest(data)
 
 
+def second_digest(data: bytes) -> str:
+    return xxhash.xxh3_128_hexdigest(data, seed=1)
+
+
 def likeness(a: bytes, b: bytes) -> float:
     """1.0 if two canonical texts have the same fingerprint, else 0.0."""
     return float(digest(a) == digest(b) and a == b)
@@ -39,10 +47,10 @@ def _digests(docs: DataFrame, key: str, text: str) -> DataFrame:
     def each(batches):
         for batch in batches:
             forms = [canonical(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["key"], "row": batch["row"], "digest": [digest(f) for f in forms]})
+            yield pd.DataFrame({"doc_id": batch["key"], "row": batch["row"], "digest": [digest(f) for f in forms], "second": [second_digest(f) for f in forms]})
 
     rows = _rows(docs, key, text)
-    return rows.mapInPandas(lean(each), "doc_id long, row long, digest string")
+    return rows.mapInPandas(lean(each), "doc_id long, row long, digest string, second string")
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -53,13 +61,13 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def collisions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(digest, row, nth): texts whose canonical bytes differ from the first text of their digest.
+    """(digest) of canonical texts whose bytes differ although their digests agree.
 
     Digests are counted map-side, so a text that a third of the rows share is no hot group. Texts whose
     digest occurs more than once are compared with the bytes of their digest's first text, in a join
     that Spark can split. No collision of 128 bits is expected, so the result is normally empty.
     """
-    found = written(_digests(docs, key, text), "digests")
+    found = written(_digests(docs, key, text).select("digest", "row"), "digests")
     groups = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first_row"))
     shared = written(groups.where("n > 1").select("digest", "first_row"), "shared-digests")
     suspects = found.join(shared, "digest", "left_semi").select("row").distinct()
@@ -74,25 +82,27 @@ def collisions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     bodies = written(bodies.join(shared, "digest"), "forms")
     first = bodies.where("row = first_row").groupBy("digest").agg(F.min("form").alias("first_form"))
     other = bodies.join(written(first, "first-forms"), "digest").where("form <> first_form")
-    other = written(other, "unequal-forms")  # numbered apart from the join, which Spark may then split
-    nth = F.dense_rank().over(Window.partitionBy("digest").orderBy("form"))
-    return other.select("digest", "row", nth.alias("nth")).distinct()
+    return other.select("digest").distinct()
 
 
-def _print_of(digests: DataFrame, others: DataFrame) -> DataFrame:
-    """Add fingerprint: the digest, with a number where bytes behind one digest differ."""
-    out = digests.join(others, ["digest", "row"], "left")
-    suffix = F.coalesce(F.concat(F.lit("-"), F.col("nth").cast("string")), F.lit(""))
-    return out.withColumn("fingerprint", F.concat("digest", suffix)).drop("nth")
+def _told_apart(rows: DataFrame, others: DataFrame, name: str, second: str) -> DataFrame:
+    """Add the second digest to the column `name` where its digest stands for different texts."""
+    others = others.select(F.col("digest").alias("__digest"))
+    clear, maybe = split_by_filter(rows, name, key_filter(others, "__digest"))
+    met = maybe.join(others, F.col(name) == F.col("__digest"), "left")
+    longer = F.when(F.col("__digest").isNotNull(), F.concat(name, F.lit("-"), second)).otherwise(F.col(name))
+    return clear.unionByName(met.withColumn(name, longer).select(*rows.columns))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint) of every row; texts have equal fingerprints if their canonical bytes agree.
 
-    Null texts count as empty; repeated rows each get a row; an empty table gives none.
+    Null texts count as empty; repeated rows each get a row; an empty table gives none. Whole texts of any
+    length are read, a thousand rows at a time.
     """
     others = written(collisions(docs, key, text), "collisions")
-    return _print_of(_digests(docs, key, text), others).select("doc_id", "fingerprint")
+    rows = _digests(docs, key, text).select("doc_id", F.col("digest").alias("fingerprint"), "second")
+    return _told_apart(written(rows, "digests"), others, "fingerprint", "second").select("doc_id", "fingerprint")
 
 
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -100,7 +110,11 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     The last floor(n_chars / 2) code points give way to the first as many (or all) of the next document
     in ascending key order; after the last comes the first. Returns doc_id, n_chars, edited_sha256,
-    fingerprint, edited_fingerprint, near_edited and near_next (1.0 for equal fingerprints, else 0.0).
+    fingerprint, edited_fingerprint, near_edited and near_next (1.0 for equal canonical bytes, else 0.0).
+
+    Null texts count as empty; null keys come first; rows of equal key follow by text hash, and repeated
+    rows each get a row and are one another's next; a single row is its own next; an empty table gives no
+    rows. The edited texts' fingerprints have a second digest wherever documents of their digest have one.
     """
     import hashlib
 
@@ -109,12 +123,14 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
         edited = whole[: len(whole) - half] + after[:half]
         own, new, other = canonical(whole), canonical(edited), canonical(after)
         sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-        return doc_id, row, len(whole), sha, digest(own), digest(new), likeness(own, new), likeness(own, other)
+        return doc_id, len(whole), sha, digest(own), digest(new), second_digest(own), second_digest(new), likeness(own, new), likeness(own, other)
 
-    schema = "doc_id long, row long, n_chars long, edited_sha256 string, digest string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, second string, edited_second string, near_edited double, near_next double"
     others = written(collisions(docs, key, text), "collisions")
-    out = _print_of(with_next(docs, one, schema, key, text), others)
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    out = written(with_next(docs, one, schema, key, text), "edited")
+    out = _told_apart(out, others, "fingerprint", "second")
+    out = _told_apart(out, others, "edited_fingerprint", "edited_second")
+    return out.drop("second", "edited_second")
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -185,5 +201,5 @@ def with_next(docs: DataFrame, make, schema: str, key: str = "doc_id", text: str
 
     names = [c.split()[0] for c in schema.split(", ")]
     dealt = _rows(docs, key, text).mapInPandas(lean(deal), "key long, row long, text binary, block int, late int")
-    dealt = dealt.repartition(n, "block").sortWithinPartitions("block", "late", "key", "row")
+    dealt = dealt.repartitionById(n, F.col("block")).sortWithinPartitions("block", "late", "key", "row")
     return dealt.mapInPandas(lean(pairs), schema)
