@@ -2,7 +2,8 @@
 
 Features of a whole text: densities of lexicon words and word stems, how near they stand to the second
 person, capitals, punctuation and obfuscation rates. The lexicon is learned from labelled rows: words and
-five-letter stems that are far more frequent in toxic than in other documents.
+five-letter stems that are far more frequent in toxic than in other documents. Lexicon, trees and
+calibration each have labelled rows of their own, so no later step sees features that know its labels.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from hexcast.llm.shared import lean, small_batches, written
 
-#: Labelled rows that lexicon, trees and calibration are fitted on: a hash sample of about this size at most.
-FIT_ROWS = 30_000
+#: Labelled rows that lexicon, trees and calibration are fitted on: a hash sample of about half this of each kind.
+FIT_ROWS = 40_000
+#: Shares of the labelled rows, in tenths by hash: lexicon, trees; the rest is for calibration.
+LEXICON_TENTHS, TREE_TENTHS = 4, 3
 LEXICON = 400  # entries kept, at most
 STEM = 5
 SMOOTH = 0.5
@@ -42,7 +45,7 @@ def learn_lexicon(labelled: DataFrame, text: str, label: str) -> dict[str, float
         for batch in batches:
             out, toxic = [], []
             for t, y in zip(batch["text"], batch["label"], strict=True):
-                each = {w for w in _words(t) if len(w) < 40}
+                each = set(_words(t))
                 each |= {w[:STEM] + "*" for w in each if len(w) >= STEM}
                 out += each
                 toxic += [int(y)] * len(each)
@@ -101,10 +104,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     """A function that adds score (double, 0 to 1) and predicted (0 or 1) to documents.
 
     labels has the key and a 0/1 label; rows with a null label are left out, and a key with both labels
-    counts as 1. At most about FIT_ROWS labels are used, a uniform hash sample, so the labelled side of
-    the join is bounded and is broadcast: texts are never shuffled. With labels of one kind only (or none),
-    every score is that kind's share. Null texts count as empty. Existing columns score and predicted are
-    replaced.
+    counts as 1. At most about FIT_ROWS labels are used, half of each kind, by hash and weighted by the share
+    left out, so the labelled side of the join is bounded and is broadcast: texts are never shuffled. With
+    labels of one kind only (or none), every score is that kind's share.
+
+    Every row gets a score of its own whole text, whatever its length: null and empty texts have the features
+    of an empty text, equal texts (and so repeated rows) get equal scores, an empty table gives no rows.
+    Existing columns score and predicted are replaced.
     """
     small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("double").alias("__label"))
@@ -114,17 +120,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         share = bad / n if n else 0.0
         return lambda docs: docs.withColumn("score", F.lit(share)).withColumn("predicted", F.lit(int(share >= 0.5)))
     h = F.xxhash64(F.col(key), F.lit(9))
-    if n > FIT_ROWS:
-        known = known.where(F.pmod(h, F.lit(1_000_000)) < int(1_000_000 * FIT_ROWS / n))
-    rows = docs.join(F.broadcast(known), key).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col("__label").alias("label"), h.alias("h"))
+    kinds = [min(1.0, FIT_ROWS / 2 / size) for size in (n - bad, bad)]  # a rare kind is kept whole
+    rate = F.when(F.col("__label") == 1, kinds[1]).otherwise(kinds[0])
+    known = known.where(F.pmod(h, F.lit(1_000_000)) < rate * 1_000_000).withColumn("__weight", 1 / rate)
+    rows = docs.join(F.broadcast(known), key)
+    rows = rows.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col("__label").alias("label"), F.col("__weight").alias("weight"), F.expr("pmod(xxhash64(`%s`, 9) div 1000000, 10)" % key).alias("tenth"))
     rows = written(rows, "labelled")
-    lexicon = learn_lexicon(rows, "text", "label")
-    data = written(with_features(rows, "text", lexicon).select("features", "label", "h"), "toxic-fit")
+    lexicon = learn_lexicon(rows.where(F.col("tenth") < LEXICON_TENTHS), "text", "label")
+    later = rows.where(F.col("tenth") >= LEXICON_TENTHS)
+    data = written(with_features(later, "text", lexicon).select("features", "label", "weight", "tenth"), "toxic-fit")
     data = data.withColumn("features", array_to_vector("features"))
-    trees = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, seed=7, subsamplingRate=0.8).fit(data.where("pmod(h div 1000000, 3) > 0"))
+    fit, held = (data.where(F.expr(f"tenth {sign} {LEXICON_TENTHS + TREE_TENTHS}")) for sign in ("<", ">="))
+    if not fit.count() or not held.count():  # too few labels for three parts
+        fit = held = data if data.count() else with_features(rows, "text", lexicon).withColumn("features", array_to_vector("features"))
+    trees = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, seed=7, subsamplingRate=0.8, weightCol="weight").fit(fit)
     raw = lambda df: trees.transform(df).withColumn("raw", vector_to_array("probability")[1])
-    held = raw(data.where("pmod(h div 1000000, 3) = 0")).select("raw", "label")
-    curve = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(held)
+    curve = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight", predictionCol="score").fit(raw(held).select("raw", "label", "weight"))
 
     def score(docs: DataFrame) -> DataFrame:
         kept = [c for c in docs.columns if c not in ("score", "predicted")]
