@@ -32,9 +32,13 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-# generators of further proposals: wide on purpose
-_WORDY = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?(?:@|[\[({]\s?at\s?[\])}]|\s(?:at|AT)\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|[\[({]\s?dot\s?[\])}]|\s(?:dot|DOT)\s)\s?[A-Za-z0-9-]{2,63}){1,4}")
-_DIGITS = re.compile(r"(?<![A-Za-z0-9])[(+]?[0-9](?:[\x20(). /_-]{0,2}[0-9]){6,24}(?![A-Za-z0-9])")
+# generators of further proposals: wide on purpose, and without a longest length
+_AT = r"(?:@|[\[({]\s?at\s?[\])}]|\s(?:at|AT)\s)"
+_DOT = r"(?:\.|[\[({]\s?dot\s?[\])}]|\s(?:dot|DOT)\s)"
+_WORDY = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?{_AT}\s?[A-Za-z0-9-]++(?:\s?{_DOT}\s?[A-Za-z0-9-]{{2,}}+)+")
+_DIGITS = re.compile(r"(?<![A-Za-z0-9])[(+]?[0-9](?:[\x20(). /_-]{0,2}[0-9])*+(?![A-Za-z0-9])")
+# fixed values: digits of a phone number and of a card number
+PHONE_DIGITS, CARD_DIGITS = range(7, 16), range(13, 20)
 _DOTTED = re.compile(r"[0-9]{1,3}(?:\s?[.,·]\s?[0-9]{1,3}|\[\.\][0-9]{1,3}){3}")
 _PHONE_WORDS = ("phone", "tel", "call", "mobile", "fax", "cell", "whatsapp", "telefon", "tél", "móvil")
 _CARD_WORDS = ("card", "visa", "credit", "debit", "master", "amex", "karte", "carte", "tarjeta")
@@ -91,11 +95,31 @@ def proposals(text: str) -> list[tuple[int, int, str]]:
     if re.search("[0-9]", text):
         out += [(m.start(), m.end(), "ip") for m in _DOTTED.finditer(text)]
         for m in _DIGITS.finditer(text):
-            n = sum(c.isdigit() for c in m[0])
-            if n <= 15:
+            n = sum(map(len, re.findall("[0-9]+", m[0])))
+            if n in PHONE_DIGITS:
                 out.append((m.start(), m.end(), "phone"))
-            if n >= 13:
+            if n in CARD_DIGITS:
                 out.append((m.start(), m.end(), "card"))
+            if n > PHONE_DIGITS[-1]:
+                out += _parts(m.start(), m[0])
+    return out
+
+
+def _parts(start: int, run: str) -> list[tuple[int, int, str]]:
+    """Proposals inside a long run of digit groups: neighbouring groups of together as many digits as a number has."""
+    groups = [(g.start(), g.end()) for g in re.finditer(r"[(+]?[0-9]+", run)]
+    out = []
+    for k, (low, _) in enumerate(groups):
+        digits = 0
+        for a, high in groups[k:]:
+            digits += high - a - (run[a] in "(+")
+            if digits > CARD_DIGITS[-1]:
+                break
+            if high - low < len(run):  # the whole run has been proposed
+                if digits in PHONE_DIGITS:
+                    out.append((start + low, start + high, "phone"))
+                if digits in CARD_DIGITS:
+                    out.append((start + low, start + high, "card"))
     return out
 
 
@@ -183,7 +207,8 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     base holds the fixed patterns' spans; spans adds the selected proposals that overlap none of them,
     likelier ones first. Null and empty texts have no spans; repeated rows each get a row. A document's
-    own candidates are gathered per document only.
+    own candidates are gathered per document only. Texts of any length are scanned whole. Among proposals that
+    overlap, equally likely ones go by start, then end, then kind.
     """
     span = "struct<start: int, end: int, kind: string>"
 
