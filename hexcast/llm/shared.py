@@ -189,16 +189,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternating large-star and small-star steps (Kiveris et al., 2014); each round is written to the
     shared folder, and only counts reach the driver. Rounds grow with the logarithm of the diameter.
     """
+    def meet(e: DataFrame, least: DataFrame) -> DataFrame:
+        # by a hash of the node: a join with an exchange of its own, which adaptive execution may split at a hub
+        left = e.withColumn("__h", F.xxhash64("a"))
+        right = least.select(F.xxhash64("a").alias("__h2"), F.col("a").alias("__a2"), "m")
+        return left.join(right, (F.col("__h") == F.col("__h2")) & (F.col("a") == F.col("__a2")))
+
     def star(e: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         least = least.select("a", F.least("a", "m").alias("m"))
         # large star: every larger neighbour of a node moves to the node's least neighbour
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = meet(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         # small star: a node and its smaller neighbours move to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = meet(large, low).select(F.col("b").alias("a"), F.col("m").alias("b"))
         return small.where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
     def mark(e: DataFrame) -> tuple:
