@@ -200,6 +200,44 @@ def test_edited_texts_take_from_the_next(spark, texts):
         assert r["near_edited"] == float(fp.canonical(edited) == fp.canonical(t)) and r["near_next"] == float(fp.canonical(n) == fp.canonical(t))
 
 
+def test_canonical_forms_are_closed():
+    marks = ["", "a", "\u0301", "\u0345", "\u0327"]
+    for c in range(0x30000):
+        if not 0xD800 <= c < 0xE000:
+            for m in marks if c < 0x2000 else marks[:2]:
+                form = fp.canonical(chr(c) + m)
+                assert fp.canonical(form.decode()) == form
+    assert fp.canonical("ß\u0301") == fp.canonical("sś")
+
+
+def test_colliding_digests_get_a_second_one(spark, monkeypatch, tmp_path):
+    """Digests of two hexadecimal digits collide; fingerprints still tell texts apart."""
+    import subprocess
+    import sys
+
+    script = """
+import sys
+sys.path.insert(0, %r)
+from hexcast.session import session
+import hexcast.llm.fingerprints as fp
+def digest(data):
+    import xxhash
+    return xxhash.xxh3_128_hexdigest(data)[:1]
+fp.digest = digest
+from pyspark import cloudpickle
+cloudpickle.register_pickle_by_value(fp)
+s = session("local[2]", "collisions", spark__sql__shuffle__partitions="2", spark__ui__enabled="false", spark__checkpoint__dir="file://%s")
+texts = [f"text {k %% 50}" for k in range(60)]
+rows = fp.edited_fingerprints(s.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+prints = {r["doc_id"]: r["fingerprint"] for r in rows}
+assert len(set(prints.values())) == 50 and all(prints[k] == prints[k + 50] for k in range(10))
+assert len({r["edited_fingerprint"] for r in rows}) > 16
+print("told apart")
+""" % (sys.path[0], tmp_path)
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=200)
+    assert "told apart" in done.stdout, done.stderr[-2000:]
+
+
 def test_line_dedup_against_brute_force(spark):
     passage = "A passage of many words that is long enough to stand alone as a chunk of its own, " * 3
     texts = [f"first\n{passage}\nlast", f"other {PROSE}\n{passage}\nend", None, "", passage, "short\nlines\nonly", "short\nlines\nonly", f"x\n{passage}", f"x\n{passage}"]
@@ -321,7 +359,8 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
             body[at:at] = inside
             want.add((k, i))
         texts.append(" ".join(body))
-    texts += [None, "", "too short"]
+    texts += [None, "", "too short", "short too, too. Short", "short"]
+    want |= {(42, 12), (43, 12)}  # short items: whole phrases
     bench = spark.createDataFrame([(i, " ".join(w).title() + ".") for i, w in enumerate(items)] + [(99, None), (98, "")], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]) for r in contaminated(docs(spark, texts), bench).collect()}
     assert found == want
