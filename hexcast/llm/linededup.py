@@ -6,8 +6,11 @@ line of PASSAGE_CHARS or of more than PASSAGE_WORDS words. Every line begins one
 runs inside a repeated passage cover all its lines, whatever its lines' lengths and whatever surrounds it.
 
 A run is removed wherever an earlier equal one exists; the first in ascending (doc_id, row hash, position)
-stays, and so do repeats in the same document that overlap it. Equal hashes are confirmed by comparing the
-bytes with the first occurrence. Parts of a line are never removed.
+stays, and so do repeats in the same document that overlap it. Equal hashes of the runs' lines are confirmed
+by comparing the bytes with the first occurrence. Parts of a line are never removed.
+
+So every line is a boundary, and content decides where the chunk from it ends. With rarer boundaries, chosen
+by a rolling hash, a chunk at either end of a passage holds lines around it, and passages of few lines stay.
 """
 
 from __future__ import annotations
@@ -21,48 +24,55 @@ PASSAGE_CHARS = 160
 PASSAGE_WORDS = 50
 RUN_CHARS = 80
 
-#: One long line, and two or more lines; each begins where the pattern is tried.
-_ONE = rf"[^\n]{{{PASSAGE_CHARS},}}+|(?=[^\n]{{0,{PASSAGE_CHARS - 1}}}(?![^\n]))(?:[^\S\n]*+\S++){{{PASSAGE_WORDS + 1}}}[^\n]*+"
-_MORE = rf"[^\n]{{{RUN_CHARS},}}+\n[^\n]*+|(?=[^\n]{{0,{RUN_CHARS - 1}}}+\n).{{{RUN_CHARS}}}[^\n]*+"
-#: Group 1 is the run from a line on. Lines without one are the last of a text, so the k-th match is line k's.
-_RUN = rf"(?s)(?<![^\n])(?=({_ONE}|{_MORE}))[^\n]*+\n?"
-
-
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _line_ends(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once for each row, however often later expressions name them."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def _further(lengths: Column, k: Column, back: bool) -> Column:
+    """Lines after line k (before it, if back) that its run takes: the fewest that give RUN_CHARS; null if too few.
+
+    Each line has one character at least, its line feed, so RUN_CHARS lines are always enough.
+    """
+    start = F.greatest(k - RUN_CHARS, F.lit(0)) if back else k + 1
+    near = F.slice(lengths, start + 1, F.least(F.lit(RUN_CHARS), k) if back else F.lit(RUN_CHARS))
+    near = F.reverse(near) if back else near
+    state = lambda chars, n: F.struct(chars.cast("int").alias("chars"), n.cast("int").alias("n"))
+    more = lambda s, size: F.when((s["chars"] >= RUN_CHARS) & (s["n"] > 0), s).otherwise(state(s["chars"] + 1 + size, s["n"] + 1))
+    far = F.aggregate(near, state(F.get(lengths, k), F.lit(0)), more, lambda s: F.when((s["chars"] >= RUN_CHARS) & (s["n"] > 0), s["n"]))
+    following = F.get(lengths, k - 1 if back else k + 1)
+    return F.when(F.get(lengths, k) + 1 + following >= RUN_CHARS, F.lit(1)).otherwise(far)
 
 
 def _with_runs(docs: DataFrame) -> DataFrame:
-    """Add __from and __upto to rows of __whole: the runs from each line, and up to each line, as (at, more, text).
+    """Replace __whole by __lines and __runs: (at, more) of each run, the first line's number and that of further lines.
 
-    at is the first line's number and more the number of further lines; the texts of __upto are backwards. A
-    run up to a line is left out where it is the run from its first line, as is nearly always so.
+    A run up to a line is left out where it is the run from its first line, as is nearly always so.
     """
-    runs = lambda text: F.regexp_extract_all(text, F.lit(_RUN), F.lit(1))
-    run = lambda at, text: F.struct(at.alias("at"), _line_ends(text).alias("more"), text.alias("text"))
-    docs = docs.withColumn("__from", F.transform(runs(F.col("__whole")), lambda text, k: run(k, text)))
-    alone = F.forall("__from", lambda r: r["more"] == 1)  # then each run up to a line is one of these
-    docs = docs.withColumn("__back", F.when(alone, F.array().cast("array<string>")).otherwise(runs(F.reverse("__whole"))))
-    last = _line_ends(F.col("__whole"))
-    upto = F.transform("__back", lambda text, k: run((last - k - _line_ends(text)).cast("int"), text))
-    known = lambda r: F.coalesce(F.get("__from", r["at"])["more"] == r["more"], F.lit(False))
-    return docs.withColumn("__upto", F.filter(upto, lambda r: (r["more"] > 0) & ~known(r))).drop("__back", "__whole")
+    rows = _once(docs, __lines=_lines(F.col("__whole"))).drop("__whole")
+    alone = lambda x: (F.length(x) >= PASSAGE_CHARS) | (F.length(x) > 2 * PASSAGE_WORDS) & (F.regexp_count(x, F.lit(r"\S+")) > PASSAGE_WORDS)
+    rows = _once(rows, __sizes=F.transform("__lines", F.length), __alone=F.transform("__lines", alone))
+    own = lambda back: lambda size, k: F.when(F.get("__alone", k), F.lit(0)).otherwise(_further(F.col("__sizes"), k, back))
+    rows = _once(rows, __after=F.transform("__sizes", own(False)), __ahead=F.transform("__sizes", own(True)))
+    run = lambda at, more: F.struct(at.alias("at"), more.alias("more"))
+    begun = F.filter(F.transform("__after", lambda n, k: run(k, n)), lambda r: r["more"].isNotNull())
+    ended = F.filter(F.transform("__ahead", lambda n, k: run(k - n, n)), lambda r: (r["more"] > 0) & ~F.get("__after", r["at"]).eqNullSafe(r["more"]))
+    return rows.select("__key", "__row", "__lines", F.concat(begun, ended).alias("__runs"))
 
 
-def _hash_of(run: Column, back: bool) -> Column:
-    return F.xxhash64(run["text"], F.lit(back))
+def _run_lines(run: Column) -> Column:
+    return F.slice("__lines", run["at"] + 1, run["more"] + 1)
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """One row for each run: place, hash, text (of runs up to a line, backwards) and number of lines less one."""
-    each = lambda back: lambda r: F.struct(_hash_of(r, back).alias("hash"), r["at"].alias("at"), r["more"].alias("more"), r["text"].alias("text"))
-    both = F.concat(F.transform("__from", each(False)), F.transform("__upto", each(True)))
+    """One row for each run: place, hash, text and number of lines less one."""
+    each = F.transform("__runs", lambda r: F.struct(F.xxhash64(_run_lines(r)).alias("hash"), r["at"].alias("at"), r["more"].alias("more"), F.array_join(_run_lines(r), "\n").alias("text")))
     # the outer form: for explode, Spark would push a filter with the whole expression to the scan
-    rows = _with_runs(docs).select("__key", "__row", F.explode_outer(both).alias("__run")).where("__run is not null")
+    rows = _with_runs(docs).select("__key", "__row", F.explode_outer(each).alias("__run")).where("__run is not null")
     place = F.struct("__key", "__row", F.col("__run.at").alias("__pos"))
     return rows.select(place.alias("__place"), F.col("__run.hash").alias("__hash"), F.col("__run.text").alias("__text"), F.col("__run.more").alias("__more"))
 
@@ -80,12 +90,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows = rows.withColumn("__row", F.xxhash64("__key", "__whole"))
     cut = rows.where(F.col("__whole").isNotNull()).select("__key", "__row", "__whole")
 
-    hashes = lambda runs, back: F.transform(runs, lambda r: _hash_of(r, back))
-    every = _with_runs(cut).select(F.explode_outer(F.concat(hashes("__from", False), hashes("__upto", True))).alias("__hash"))
+    every = _with_runs(cut).select(F.explode_outer(F.transform("__runs", lambda r: F.xxhash64(_run_lines(r)))).alias("__hash"))
     counts = every.groupBy("__hash").agg(F.count(F.lit(1)).alias("__n"))
     repeated = written(counts.where("__n > 1 and __hash is not null").select("__hash"), "runs")
     texts = maybe_with_keys(_occurrences(cut), "__hash", key_filter(repeated, "__hash"))
-    texts = written(texts.join(repeated, "__hash", "left_semi"), "run-texts")
+    texts = written(texts.join(repeated, "__hash"), "run-texts")
     first = texts.groupBy("__hash").agg(F.min(F.struct("__place", F.col("__text").cast("binary").alias("__bytes"))).alias("__f"))
     first = first.select("__hash", F.col("__f.__place").alias("__first"), F.col("__f.__bytes").alias("__bytes"))
     same = texts.join(written(first, "run-firsts"), "__hash").where("__place <> __first")
