@@ -227,7 +227,7 @@ fp.digest = digest
 from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(fp)
 s = session("local[2]", "collisions", spark__sql__shuffle__partitions="2", spark__ui__enabled="false", spark__checkpoint__dir="file://%s")
-texts = [f"text {k %% 50}" for k in range(60)]
+texts = [f"{k %% 50} text" for k in range(60)]
 rows = fp.edited_fingerprints(s.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
 prints = {r["doc_id"]: r["fingerprint"] for r in rows}
 assert len(set(prints.values())) == 50 and all(prints[k] == prints[k + 50] for k in range(10))
