@@ -17,15 +17,17 @@ def balanced_shards(items: DataFrame, shards: int, order: list[str], size: str)
     shard); existing columns of these names are replaced.
 
     Null order keys come first; rows equal in all order columns follow in reading order; a null size
-    counts 0; an empty table gives no rows; if all sizes are 0, every item is in shard 0.
+    counts 0; an empty table gives no rows; if all sizes are 0, every item is in shard 0. Other columns may
+    have any name; an item larger than a shard's share, such as a very long text, still is in one shard.
     """
-    items = items.drop("shard", "slot").withColumn("__size", F.coalesce(F.col(size), F.lit(0)).cast("long"))
-    placed = with_prefix_sums(in_order(items, *order), order, "__size")
+    items = items.drop("shard", "slot")
+    keys = [f"__order{k}" for k in range(len(order))]
+    rows = items.select(F.struct("*").alias("__all"), *[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)], F.coalesce(F.col(size), F.lit(0)).cast("long").alias("__size"))
+    placed = with_prefix_sums(in_order(rows, *keys), keys, "__size")
     middle = F.col("__before") * 2 + F.col("__size")
     scaled = F.floor(F.try_divide((middle * shards).cast("decimal(38,0)"), F.col("__total") * 2))
     placed = placed.withColumn("shard", F.least(F.coalesce(scaled, F.lit(0)), F.lit(shards - 1)).cast("int"))
     first = placed.groupBy("shard").agg(F.min("__row").alias("__first"))
     # one row per shard: bounded by the parameter
     out = placed.join(F.broadcast(first), "shard")
-    out = out.withColumn("slot", F.col("__row") - F.col("__first"))
-    return out.select(*[c for c in items.columns if c != "__size"], "shard", "slot")
+    return out.select("__all.*", "shard", (F.col("__row") - F.col("__first")).alias("slot"))

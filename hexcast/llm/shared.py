@@ -8,6 +8,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 
@@ -17,8 +19,8 @@ from pyspark.sql.window import Window
 
 #: 64-bit words of the broadcast key filter: 131,072 rows whatever the input holds.
 FILTER_WORDS = 1 << 17
-#: Folders that written() has made in this process.
-_TABLES: list[str] = []
+#: Folders that written() has made inside the current scope(); None outside of any.
+_TABLES: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,21 +83,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _TABLES.append(path)
+    if (tables := _TABLES.get()) is not None:
+        tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Inside, written() notes its tables for forget(); those of lazy results made elsewhere are not touched."""
+    before = _TABLES.set([])
+    try:
+        yield
+    finally:
+        _TABLES.reset(before)
+
+
 def forget(spark: SparkSession, but: DataFrame | None = None) -> None:
-    """Delete the tables that written() has made, except those that `but` reads.
+    """Delete the tables that written() has made in this scope(), except those that `but` reads.
 
     Call it when a result has been written: results are lazy and read these tables until then.
     """
+    tables = _TABLES.get()
+    if not tables:
+        return
     used = {f.split("/part-")[0].rsplit("/", 1)[-1] for f in but.inputFiles()} if but is not None else set()
-    kept = [p for p in _TABLES if p.rsplit("/", 1)[-1] in used]
-    for p in set(_TABLES) - set(kept):
+    kept = [p for p in tables if p.rsplit("/", 1)[-1] in used]
+    for p in set(tables) - set(kept):
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _TABLES[:] = kept
+    tables[:] = kept
 
 
 def in_order(items: DataFrame, *order: str) -> DataFrame:

@@ -8,6 +8,8 @@ Parquet only frames the binary segments, so Spark's commit protocol makes each f
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
@@ -43,7 +45,7 @@ def write_token_files(
 
         def row() -> pd.DataFrame:
             flat, n = np.concatenate(ids), np.concatenate(sizes)
-            return pd.DataFrame([{"part": part, "segment": segment, "id_start": start, "doc_ids": sum(keys, []), "doc_tokens": n, **pack_ids(flat)}])
+            return pd.DataFrame([{"part": part, "segment": segment, "id_start": start, "doc_ids": list(chain.from_iterable(keys)), "doc_tokens": n, **pack_ids(flat)}])
 
         for batch in batches:
             flat, n = coder.encode(batch["text"].tolist())

@@ -458,13 +458,21 @@ def test_crc_is_unsigned_little_endian(spark):
     assert spark.createDataFrame([(bytearray(ids),)], "b binary").select(F.crc32("b")).first()[0] == zlib.crc32(ids)
 
 
-def test_forget_deletes_all_but_what_is_read(spark):
-    from hexcast.llm import shared
-
-    a, b = shared.written(spark.range(3).toDF("x"), "one"), shared.written(spark.range(4).toDF("x"), "two")
-    shared.forget(spark, but=b)
-    assert b.count() == 4 and len(shared._TABLES) == 1
-    with pytest.raises(Exception, match="(?i)exist"):
-        a.count()
-    shared.forget(spark)
-    assert not shared._TABLES
+def test_shards_and_line_dedup_keep_columns_of_any_name(spark):
+    names = ["__size", "__part", "__tie", "__before", "__row", "__all", "__lines", "__key", "__first"]
+    rows = docs(spark, ODD).select("doc_id", "text", "size", *[F.lit(str(k)).alias(n) for k, n in enumerate(names)])
+    for out in (balanced_shards(rows, 2, ["doc_id"], "size"), dedup_lines(rows)):
+        assert out.count() == len(ODD) and {tuple(r) for r in out.select(*names).collect()} == {tuple(map(str, range(len(names))))}
+
+
+def test_scratch_tables_of_other_results_stay(spark, tmp_path):
+    from hexcast.llm.shared import forget, scope, written
+
+    lazy = written(docs(spark, ODD), "lazy")
+    with scope():
+        kept = written(docs(spark, ODD), "kept")
+        gone = written(docs(spark, ODD), "gone")
+        forget(spark, but=kept)
+        with pytest.raises(Exception, match="(?i)exist|not.found"):
+            gone.collect()
+    assert lazy.count() == kept.count() == len(ODD)
