@@ -15,11 +15,11 @@ from hexcast.llm.jaccard import similar_classes
 from hexcast.llm.linededup import dedup_lines
 from hexcast.llm.packing import pack_lengths, token_pieces
 from hexcast.llm.queries import END_ID, SEQUENCE, toxicity_scorer
-from hexcast.llm.shared import documents, forget, without_keys, written
+from hexcast.llm.shared import documents, forget, scope, without_keys, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the scorer does not call toxic."""
+    """Documents that the scorer does not call toxic; null and empty texts are scored as empty ones."""
     return toxicity_scorer(spark, docs, sf_dir)(docs).where("predicted = 0").select(*docs.columns)
 
 
@@ -41,13 +41,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts stay, and so do rows with a null doc_id.
+
+    doc_id names a document: if one of several rows of a doc_id holds an item, all of them go.
+    """
     found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return without_keys(docs, found.select("doc_id"), "doc_id")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their place in the packed sequences."""
+    """The pieces of all documents with their place in the packed sequences; a null text is one end id."""
     pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), "word", END_ID, SEQUENCE)
     pieces = written(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
     return pack_lengths(pieces, SEQUENCE, ["doc_id", "start"])
@@ -66,7 +69,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
-        forget(spark, but=docs)
+    with scope():
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), name)
+            forget(spark, but=docs)
     return docs
