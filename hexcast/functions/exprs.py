@@ -197,3 +197,61 @@ def hex_number(text: ColumnLike) -> Column:
 def z_colour(z: ColumnLike) -> Column:
     """Red part 0 to 255 of the z score's colour ramp."""
     return (F.least(F.lit(1.0), F.greatest(F.lit(0.0), (col(z) + 2.0) / 6.0)) * 255).cast("int")
+
+
+def at_least(x: ColumnLike, low: float = 0.001) -> Column:
+    return F.greatest(F.lit(low), col(x))
+
+
+def mean_temperature(tmax: ColumnLike, tmin: ColumnLike) -> Column:
+    return (col(tmax) + col(tmin)) / 2
+
+
+def daily_range(tmax: ColumnLike, tmin: ColumnLike) -> Column:
+    return col(tmax) - col(tmin)
+
+
+def base_rain(lon: ColumnLike, lat: ColumnLike) -> Column:
+    """Expected weekly rain of a place: more in the east and in the south (fixed values)."""
+    return F.when(col(lon) > 85, 100.0).otherwise(30.0) + F.when(col(lat) < 15, 60.0).otherwise(10.0)
+
+
+def suitability(rain: ColumnLike, lat: ColumnLike) -> Column:
+    """Share between 0 and 1 from rain and the distance to 20 degrees of latitude (fixed values)."""
+    x = (col(rain) / 200.0 + (F.lit(30.0) - F.abs(col(lat) - 20.0)) / 30.0) / 2.0
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+
+
+#: fixed values: risk percent, then red, green and blue
+COLOUR_STOPS = ((0, 59, 130, 246), (25, 34, 197, 94), (50, 249, 115, 22), (75, 239, 68, 68), (100, 153, 27, 27))
+
+
+def risk_colour(percent: ColumnLike) -> Column:
+    """(red, green, blue), linear between the stops."""
+    p = F.least(F.lit(100.0), F.greatest(F.lit(0.0), col(percent)))
+
+    def part(k: int) -> Column:
+        out = F.lit(float(COLOUR_STOPS[-1][k]))
+        for (a, *low), (b, *high) in reversed(list(zip(COLOUR_STOPS, COLOUR_STOPS[1:], strict=False))):
+            out = F.when(p < b, low[k - 1] + (p - a) * (high[k - 1] - low[k - 1]) / float(b - a)).otherwise(out)
+        return F.round(out).cast("int")
+
+    return F.struct(*[part(k).alias(n) for k, n in enumerate(("red", "green", "blue"), 1)])
+
+
+def plan_band(risk: ColumnLike) -> Column:
+    """Band of a risk between 0 and 1 (thresholds .30, .60, .80)."""
+    r = col(risk)
+    return F.when(r >= 0.8, "critical").when(r >= 0.6, "high").when(r >= 0.3, "moderate").otherwise("low")
+
+
+def label_of(key: ColumnLike) -> Column:
+    """Label of a key without an entry of its own: its first word, with a capital."""
+    first = F.split(col(key), "_")[0]
+    return F.concat(F.upper(F.substring(first, 1, 1)), first.substr(F.lit(2), F.length(first)))
+
+
+def closed_ring(lon: ColumnLike, lat: ColumnLike, half: float = 0.015, tall: float = 0.02) -> Column:
+    """Corners (lon, lat) of the hexagon around a centre; the first corner closes the ring."""
+    corners = ((0.0, tall), (-half, tall / 2), (-half, -tall / 2), (0.0, -tall), (half, -tall / 2), (half, tall / 2), (0.0, tall))
+    return F.array(*[F.array(col(lon) + F.lit(x), col(lat) + F.lit(y)) for x, y in corners])

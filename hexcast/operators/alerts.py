@@ -67,3 +67,9 @@ def taxonomy(panel: DataFrame, keys: list[str], z: str = "z", week: str = "week_
     label = F.when(all_hot, "Persistent").when(now & was & (F.col(z) > F.col("__z1")), "Intensifying").when(now, "Emerging").when(was, "Diminishing").otherwise("Non-Hotspot")
     rows = rows.withColumn("taxonomy", label)
     return rows.groupBy(*keys).agg(F.max_by(F.struct(z, "taxonomy"), week).alias("l")).select(*keys, f"l.{z}", "l.taxonomy")
+
+
+def priority(rows: DataFrame, group: str, band: str) -> DataFrame:
+    """Groups with a high or medium band, most high ones first: (group, high_alert, warning)."""
+    out = rows.groupBy(group).agg(F.count_if(F.col(band) == "high").alias("high_alert"), F.count_if(F.col(band) == "medium").alias("warning"))
+    return out.where("high_alert > 0 or warning > 0").orderBy(F.desc("high_alert"), F.desc("warning"), group)

@@ -76,12 +76,42 @@ def interval_coverage(rows: DataFrame, levels: list[int]) -> DataFrame:
     return rows.agg(*[F.avg(F.coalesce(c, F.lit(False)).cast("double")).alias(n) for n, c in inside.items()], mae.alias("mae"))
 
 
+def exact_quantiles(rows: DataFrame, group: str, value: str, points: list[float]) -> DataFrame:
+    """(group, q): exact quantiles (array, interpolated) of a value in each group; nulls do not count.
+
+    Equal values are counted first, their counts are range-partitioned and summed by partition, and the ranks
+    next to each quantile are then looked up, so a group of any size is never in one task.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialised(counts.repartitionByRange(n, "g", "v").withColumn("part", F.spark_partition_id()))
+    # one row for each group and partition that holds it
+    parts = counts.groupBy("g", "part").agg(F.sum("n").alias("s"))
+    earlier = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("g", "part", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("base"), F.sum("s").over(Window.partitionBy("g")).alias("total"))
+    within = Window.partitionBy("g", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("stop", F.sum("n").over(within)).join(parts, ["g", "part"]).withColumn("stop", F.col("base") + F.col("stop"))
+    at = lambda rank: F.max(F.when((F.col("stop") - F.col("n") <= rank) & (rank < F.col("stop")), F.col("v").cast("double")))
+    place = lambda p: (F.col("total") - 1) * F.lit(float(p))
+    sums = [x for k, p in enumerate(points) for x in (at(F.floor(place(p))).alias(f"low{k}"), at(F.ceil(place(p))).alias(f"high{k}"), F.max(place(p) - F.floor(place(p))).alias(f"part{k}"))]
+    mixed = [F.col(f"low{k}") * (1 - F.col(f"part{k}")) + F.col(f"high{k}") * F.col(f"part{k}") for k in range(len(points))]
+    return placed.groupBy("g").agg(*sums).select(F.col("g").alias(group), F.array(*mixed).alias("q"))
+
+
+def quantile(rows: DataFrame, value: str, point: float, name: str) -> DataFrame:
+    """One row: an exact quantile of a value over all rows."""
+    found = exact_quantiles(rows.select(F.lit(0).alias("all"), F.col(value).alias("value")), "all", "value", [point])
+    return found.select(F.col("q")[0].alias(name))
+
+
 def width_quantiles(rows: DataFrame, low: str, high: str) -> DataFrame:
     """One row: mean and exact quantiles of the interval width."""
-    width = F.col(high) - F.col(low)
     points = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
-    q = rows.agg(F.avg(width).alias("mean"), F.percentile(width, list(points.values())).alias("q"))
-    return q.select("mean", *[F.col("q")[k].alias(n) for k, n in enumerate(points)])
+    widths = rows.select(F.lit(0).alias("all"), (F.col(high) - F.col(low)).alias("width"))
+    q = exact_quantiles(widths, "all", "width", list(points.values()))
+    # one row each
+    out = widths.agg(F.avg("width").alias("mean")).join(F.broadcast(q))
+    return out.select("mean", *[F.col("q")[k].alias(n) for k, n in enumerate(points)])
 
 
 def global_rank(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
@@ -136,10 +166,9 @@ def profile(rows: DataFrame, columns: list[str]) -> DataFrame:
 def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n, mean, std, min, p25, p50, p75, max) with exact quantiles."""
     long = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
-    q = long.groupBy("column").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.percentile("value", [0.25, 0.5, 0.75]).alias("q"), F.max("value").alias("max"),
-    )
+    q = long.groupBy("column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    # one row for each column
+    q = q.join(F.broadcast(exact_quantiles(long, "column", "value", [0.25, 0.5, 0.75])), "column", "left")
     return q.select("column", "n", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
@@ -159,7 +188,7 @@ def target_stats(rows: DataFrame, targets: list[str]) -> DataFrame:
 
 def above_quantile(rows: DataFrame, value: str, share: float = 0.95) -> DataFrame:
     """One row: the quantile, and how many rows lie strictly above it."""
-    cut = rows.agg(F.percentile(value, share).alias("cut"))
+    cut = quantile(rows, value, share, "cut")
     out = rows.join(F.broadcast(cut)).agg(F.max("cut").alias("cut"), F.count_if(F.col(value) > F.col("cut")).alias("above"), F.count(F.lit(1)).alias("n"))
     return out.withColumn("share", F.round(ratio("above", "n"), 6))
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 META = ("cell", "state", "district", "year", "week", "monday", "week_index", "is_spatial_holdout", "split", "cases")
@@ -118,3 +118,23 @@ def synthetic_world(spark, side: int = 15, cells: int = 6) -> DataFrame:
     rows = rows.withColumn("population", F.lit(200.0) - F.log(F.lit(1.0001) - noise(1)) * 800.0)
     rows = rows.withColumn("ndvi", F.sin(F.col("gx") / 9.0) + noise(2) * 0.4).withColumn("rainfall", F.cos(F.col("gy") / 11.0) + noise(3) * 0.4)
     return rows.withColumn("true_cases", F.col("population") * F.exp(F.lit(-6.0) + 0.8 * F.col("ndvi") + 0.5 * F.col("rainfall")))
+
+
+def unscaled(rows: DataFrame, intercept: float, coefficients: dict[str, float]) -> DataFrame:
+    """One row: intercept and coefficients on the covariates' own scale, from those of standardised covariates."""
+    mean, sd = (lambda c: F.avg(c)), (lambda c: F.nullif(F.stddev_pop(c), F.lit(0.0)))
+    shift = sum((F.lit(b) * mean(c) / sd(c) for c, b in coefficients.items()), F.lit(0.0))
+    return rows.agg((F.lit(intercept) - shift).alias("intercept"), *[(F.lit(b) / sd(c)).alias(c) for c, b in coefficients.items()])
+
+
+def save(model: PipelineModel, features: list[str], path: str) -> None:
+    """Write a fitted model and, beside it, the list of its features in order."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    spark.createDataFrame([(k, f) for k, f in enumerate(features)], "place int, feature string").coalesce(1).write.mode("overwrite").json(f"{path}/features")
+
+
+def load(spark: SparkSession, path: str) -> tuple[PipelineModel, list[str]]:
+    """The model and its features, as save() wrote them."""
+    rows = spark.read.schema("place int, feature string").json(f"{path}/features").orderBy("place").collect()  # one row for each feature
+    return PipelineModel.load(f"{path}/model"), [r["feature"] for r in rows]

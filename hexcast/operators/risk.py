@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hexcast.functions.exprs import hybrid_risk, positive_max, risk_percent, syndemic_normalised, syndemic_raw
+from hexcast.functions.exprs import closed_ring, hybrid_risk, positive_max, risk_percent, syndemic_normalised, syndemic_raw
 
 HALF_BOX = 0.016
 LIMITS = (100, 25000)
@@ -128,6 +128,40 @@ def features(rows: DataFrame, properties: list[str], lon: str = "center_lon", la
     return rows.select(*properties[:1], F.to_json(body).alias("feature"))
 
 
+def polygon_features(rows: DataFrame, properties: list[str], lon: str = "center_lon", lat: str = "center_lat", aggregate: bool = False, **size: float) -> DataFrame:
+    """(first property, feature): a GeoJSON polygon feature of each cell's hexagon."""
+    shape = F.struct(F.lit("Polygon").alias("type"), F.array(closed_ring(lon, lat, **size)).alias("coordinates"))
+    body = F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(*properties, F.lit(aggregate).alias("is_aggregate")).alias("properties"))
+    return rows.select(*properties[:1], F.to_json(body).alias("feature"))
+
+
+def at_all_horizons(cells: DataFrame, predictions: DataFrame, value: str, horizons: list[int]) -> DataFrame:
+    """Every cell at every horizon: the prediction (0 where none) and its percent of the horizon's largest."""
+    grid = cells.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    rows = grid.join(predictions, ["cell", "horizon"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
+    largest = predictions.groupBy("horizon").agg(positive_max(value).alias("__largest"))
+    # one row for each horizon
+    rows = rows.join(F.broadcast(largest), "horizon", "left").withColumn("__largest", F.coalesce("__largest", F.lit(1.0)))
+    return rows.withColumn("risk_percent", risk_percent(value, "__largest")).drop("__largest")
+
+
+def first_rows(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in a stated order."""
+    return rows.orderBy(*order).limit(n)
+
+
+DISEASES, HORIZONS = ("a", "b"), (1, 2, 3, 4)
+
+
+def checked(disease: str, horizon: int) -> tuple[str, int]:
+    """The arguments of a request; ValueError for an unknown disease or horizon, before anything is planned."""
+    if disease not in DISEASES:
+        raise ValueError(f"unknown disease {disease!r}: one of {', '.join(DISEASES)}")
+    if horizon not in HORIZONS:
+        raise ValueError(f"horizon {horizon} is not from {HORIZONS[0]} to {HORIZONS[-1]}")
+    return disease, horizon
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

@@ -1 +1,5 @@
 """Registered queries with their SQL oracles."""
+
+from hexcast.plans import queries, serving
+
+__all__ = ["queries", "serving"]

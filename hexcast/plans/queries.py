@@ -245,12 +245,11 @@ def weekly_weather_left(spark, d):
 
 @query(f"WITH {WEATHER} SELECT r.district, r.state, r.date, r.rain, round(t.tmax, 6) AS tmax, round(u.tmin, 6) AS tmin FROM (SELECT district, state, date, sum(rain) AS rain FROM weather GROUP BY 1, 2, 3) r JOIN (SELECT district, state, date, avg(tmax) AS tmax FROM weather WHERE tmax > 22 GROUP BY 1, 2, 3) t USING (district, state, date) JOIN (SELECT district, state, date, avg(tmin) AS tmin FROM weather WHERE tmin > 12 GROUP BY 1, 2, 3) u USING (district, state, date)")
 def weather_three_way(spark, d):
-    keys = ["district", "state", "date"]
-    rows = T.weather_daily(spark, d)
-    rain = rows.groupBy(*keys).agg(F.sum("rain").alias("rain"))
-    high = rows.where("tmax > 22").groupBy(*keys).agg(F.round(F.avg("tmax"), 6).alias("tmax"))
-    low = rows.where("tmin > 12").groupBy(*keys).agg(F.round(F.avg("tmin"), 6).alias("tmin"))
-    return rain.join(high, keys).join(low, keys)
+    # the three sides have one key: one conditional aggregation gives the rows that all three have
+    high, low = F.when(F.col("tmax") > 22, F.col("tmax")), F.when(F.col("tmin") > 12, F.col("tmin"))
+    rows = T.weather_daily(spark, d).groupBy("district", "state", "date")
+    out = rows.agg(F.sum("rain").alias("rain"), F.round(F.avg(high), 6).alias("tmax"), F.round(F.avg(low), 6).alias("tmin"))
+    return out.where("tmax is not null and tmin is not null")
 
 
 @query(f"WITH {WEATHER} SELECT district, state, date, round(avg(tmax), 6) AS tmax, count(rain) AS valid, round(avg(rain), 6) AS rain FROM weather GROUP BY 1, 2, 3")
@@ -446,9 +445,10 @@ def nearest_centroid(spark, d):
     return spatial.nearest(rows, centres, "cell", "place").select("cell", "place")
 
 
-@query(f"WITH {CELLS} SELECT district, state FROM places ANTI JOIN (SELECT district, state FROM cells WHERE cell % 7 = 0) c USING (district, state)")
+@query(f"WITH {CELLS}, {RISK_B} SELECT district, state FROM places ANTI JOIN (SELECT district, state FROM cells JOIN risk_b USING (cell) WHERE b >= 4) c USING (district, state)")
 def districts_without_cell(spark, d):
-    some = T.cells(spark, d).where("cell % 7 = 0")
+    """Districts without a cell of risk 4 or more."""
+    some = T.cells(spark, d).join(T.risk_b(spark, d).where("b >= 4"), "cell")
     return spatial.without_match(T.places(spark, d).select("district", "state"), some, KEYS)
 
 
@@ -568,7 +568,7 @@ def above_p95_share(spark, d):
 
 @query("SELECT round(quantile_cont(l_extendedprice, 0.995), 4) AS axis_limit FROM lineitem")
 def axis_limit(spark, d):
-    return T.table(spark, d, "lineitem").agg(F.round(F.percentile("l_extendedprice", 0.995), 4).alias("axis_limit"))
+    return evaluate.quantile(T.table(spark, d, "lineitem"), "l_extendedprice", 0.995, "axis_limit").select(F.round("axis_limit", 4).alias("axis_limit"))
 
 
 @query(f"WITH {PANEL} SELECT count(DISTINCT cell) AS keys, count(DISTINCT year) AS years, count(DISTINCT year * 100 + week) AS periods, min(year) AS first_year, max(year) AS last_year, min(week) AS first_week, max(week) AS last_week FROM panel", first_week="INTEGER", last_week="INTEGER", first_year="INTEGER", last_year="INTEGER")
@@ -827,7 +827,7 @@ def spatial_holdout(spark, d):
     return T.places(spark, d).select("district", "state", panel.spatial_holdout(KEYS).alias("is_spatial_holdout"))
 
 
-@query()
+@query(f"WITH {GI}, t AS (SELECT cell, z, 1 / (1 + CAST(0.2316419 AS DOUBLE) * abs(z)) AS t FROM gi) SELECT cell, round(z, 6) AS z, round(2 * exp(-z * z / 2) / sqrt(2 * pi()) * t * (CAST(0.319381530 AS DOUBLE) + t * (CAST(-0.356563782 AS DOUBLE) + t * (CAST(1.781477937 AS DOUBLE) + t * (CAST(-1.821255978 AS DOUBLE) + t * CAST(1.330274429 AS DOUBLE))))), 6) AS p FROM t")
 def p_values(spark, d):
     return gi_scores(spark, d).select("cell", F.round("z", 6).alias("z"), F.round(X.normal_p_value("z"), 6).alias("p"))
 
@@ -923,7 +923,7 @@ def stream_weekly_cases(spark, d):
     source = stream.event_stream(spark, f"{d}/events.parque[t]", schema)
     rows = stream.weekly(source, ["event_type"], "value")
     checkpoint = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    out = stream.drained(rows, "hexcast_weekly_cases", checkpoint)
+    out = stream.drained(rows, f"{checkpoint}-rows", checkpoint)
     return out.select("event_type", "monday", F.round("total", 4).alias("total"), "n")
 
 

@@ -31,11 +31,17 @@ def sessions(events: DataFrame, key: str, gap: str = "2 hours", late: str = "1 d
     return out.select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that has arrived and return its result table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over all that has arrived and return its result, kept as files in the shared folder `path`.
+
+    In complete mode each micro-batch is the whole result and replaces the one before; else it is added.
+    """
+    spark = stream.sparkSession
+    how = "overwrite" if mode == "complete" else "append"
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(path)
+    query = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode(how).parquet(path))
+    query.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def latest_week_view(path: str) -> Callable[[DataFrame, int], None]:

@@ -283,7 +283,7 @@ def test_stream_matches_batch(spark, data, tmp_path):
     events = T.table(spark, data, "events")
     events.write.parquet(f"{tmp_path}/drop")
     rows = weekly.weekly(weekly.event_stream(spark, f"{tmp_path}/drop", events.schema), ["event_type"], "value")
-    got = weekly.drained(rows, "parity", f"{tmp_path}/cp").select("event_type", "monday", "n").collect()
+    got = weekly.drained(rows, f"{tmp_path}/rows", f"{tmp_path}/cp").select("event_type", "monday", "n").collect()
     want = weekly.weekly(events, ["event_type"], "value").select("event_type", "monday", "n").collect()
     assert sorted(got) == sorted(want)
 
