@@ -10,6 +10,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 
@@ -188,15 +190,19 @@ def split_by_filter(rows: DataFrame, key: str, filter_: DataFrame) -> tuple[Data
     return flagged.where(~maybe).select("__row_of.*"), flagged.where(maybe).select("__row_of.*")
 
 
-def without_keys(rows: DataFrame, drop: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not among drop's; null keys stay.
+def without_keys(rows: DataFrame, drop: DataFrame, *keys: str) -> DataFrame:
+    """Rows whose keys are not among drop's; a null equals a null.
 
     Rows that the bounded broadcast filter clears pass without a shuffle; only the others meet drop in an
-    exact anti join.
+    exact anti join over all keys.
     """
-    drop = written(drop.select(key).distinct(), "dropped")
-    passed, maybe = split_by_filter(rows, key, key_filter(drop, key))
-    return passed.unionByName(maybe.join(drop, key, "left_anti").select(*rows.columns))
+    kinds = dict(drop.dtypes)
+    drop = written(drop.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct(), "dropped")
+    marks = drop.select(F.xxhash64(*drop.columns).alias("__mark"))
+    marked = rows.withColumn("__mark", F.xxhash64(*[F.col(k).cast(kinds[k]) for k in keys]))
+    passed, maybe = split_by_filter(marked, "__mark", key_filter(marks, "__mark"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return passed.unionByName(maybe.join(drop, same, "left_anti")).select(*rows.columns)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
