@@ -35,9 +35,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Repeated rows of equal id and text count as one document.
     """
     classes = similar_classes(docs)
-    place = F.xxhash64("doc_id", "row")
-    rows = docs.withColumn("__place", F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))))
-    return without_keys(rows, classes.where(~F.col("first")).select(place.alias("__place")), "__place").select(*docs.columns)
+    rows = docs.withColumn("__row", F.xxhash64(F.coalesce("text", F.lit(""))))
+    drop = classes.where(~F.col("first")).select("doc_id", F.col("row").alias("__row"))
+    return without_keys(rows, drop, "doc_id", "__row").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     doc_id names a document: if one of several rows of a doc_id holds an item, all of them go.
     """
     found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without_keys(docs, found.select("doc_id"), "doc_id")
+    return without_keys(docs, found.select("doc_id").where("doc_id is not null"), "doc_id")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
