@@ -13,6 +13,7 @@ from hexcast.llm.fingerprints import edited_fingerprints
 from hexcast.llm.htmltext import extract_text
 from hexcast.llm.jaccard import similar_classes
 from hexcast.llm.linededup import dedup_lines
+from hexcast.llm.oracles import ORACLES, SHARDS
 from hexcast.llm.packing import pack_lengths, token_pieces
 from hexcast.llm.pii import KINDS, find_pii, joined
 from hexcast.llm.shared import documents, scratch_dir, written
@@ -20,9 +21,9 @@ from hexcast.llm.sharding import balanced_shards
 from hexcast.llm.tokenfiles import read_token_files, write_token_files
 from hexcast.llm.toxicity import fit_toxicity
 
-SHARDS = 24
 SEQUENCE = 4096
 END_ID = 2
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,20 +37,6 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: shard by the middle of the byte range; slots count from the shard's first row
-OP1_SQL = f"""
-WITH sized AS (
-  SELECT doc_id, coalesce(strlen(text), 0) + 8 AS size, text FROM documents
-), placed AS (
-  SELECT *, sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM sized
-), cut AS (
-  SELECT *, CAST(least({SHARDS - 1}, ((before * 2 + size) * {SHARDS}) // (total * 2)) AS INTEGER) AS shard FROM placed
-)
-SELECT doc_id, size, 'bytes' AS law, shard,
-  row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cut
-"""
-
-
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -110,5 +97,3 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_pii": op6_pii, "op7_jaccard_join": op7_jaccard_join, "op8_line_dedup": op8_line_dedup, "op9_html_extraction": op9_html_extraction, "op10_token_files": op10_token_files}
-#: op1 has no SQL: DuckDB has no crc32; tests/llm compares it with OP1_SQL on the other columns
-ORACLES: dict[str, str] = {}

@@ -2,6 +2,7 @@
 
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -12,6 +13,7 @@ from hexcast.llm import htmltext, packing, pii, simple8b, textids, tokenfiles, t
 from hexcast.llm.decontaminate import contaminated, lcs
 from hexcast.llm.jaccard import banding, similar_classes
 from hexcast.llm.linededup import dedup_lines
+from hexcast.llm.queries import ORACLES, QUERIES
 from hexcast.llm.shared import components, without_keys
 from hexcast.llm.sharding import balanced_shards
 
@@ -39,15 +41,15 @@ def test_shards_are_contiguous_and_gapless(spark):
     assert {r["shard"] for r in balanced_shards(zero, 3, ["doc_id"], "size").collect()} == {0}
 
 
-def test_shards_match_sql(spark, data):
-    import duckdb
-
-    from hexcast.llm.queries import OP1_SQL, op1_sharding
-
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_sql(spark, data, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
-    ours = {(r["doc_id"], r["size"], r["shard"], r["slot"]) for r in op1_sharding(spark, data).collect()}
-    assert ours == set(con.execute(f"SELECT doc_id, size, shard, slot FROM ({OP1_SQL})").fetchall())
+    want = con.execute(ORACLES[name])
+    columns = [c[0] for c in want.description]
+    ours = QUERIES[name](spark, data)
+    assert sorted(ours.columns) == sorted(columns)
+    assert sorted(map(repr, map(tuple, ours.select(columns).collect()))) == sorted(map(repr, want.fetchall()))
 
 
 @pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
@@ -98,8 +100,6 @@ def test_id_queries_equal_the_library_on_a_table(spark, data, query):
     import pyarrow.parquet as pq
     from tokenizers import Tokenizer
 
-    from hexcast.llm.queries import QUERIES
-
     table = pq.read_table(f"{data}/documents.parquet", columns=["doc_id", "text"]).sort_by("doc_id").to_pylist()
     name, last = ("word_bpe_49k.json", 2) if query == "op4_packing" else ("byte_bpe_50k.json", 0)
     library = Tokenizer.from_file(public_tokenizers.path(name))
