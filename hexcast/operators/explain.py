@@ -44,6 +44,36 @@ def feature_group(name: str) -> str:
     return next((g for part, g in rules if part in name), "Misc")
 
 
+#: the six ablation scenarios: the group left out, or the only one kept
+SCENARIOS = {
+    "All Features (Baseline)": (None, None), "No Weather": ("Weather", None), "No Spatial (Neighbors)": ("Spatial_Neighbors", None),
+    "No Temporal (Seasonality)": ("Temporal_Seasonality", None), "No Ecology & Population": ("Ecology_Population", None),
+    "Only Base Cases (No Exogenous)": (None, "Base_Cases"),
+}
+# fixed values: parts of feature names by ablation group
+GROUP_PARTS = {
+    "Weather": ("tmean", "tmin", "tmax", "rain", "humid", "suitability"),
+    "Spatial_Neighbors": ("neighbor",),
+    "Ecology_Population": ("pop", "frac_", "ndvi", "elevation"),
+}
+
+
+def ablation_groups(name: str) -> set[str]:
+    """The ablation groups that a feature belongs to; it may be in several."""
+    groups = {g for g, parts in GROUP_PARTS.items() if any(p in name for p in parts)}
+    if "case" in name and "neighbor" not in name:
+        groups.add("Base_Cases")
+    if name in ("sin_week", "cos_week", "month"):
+        groups.add("Temporal_Seasonality")
+    return groups or {"Misc"}
+
+
+def ablation_scenarios(features: list[str]) -> dict[str, list[str]]:
+    """The features of each scenario."""
+    groups = {f: ablation_groups(f) for f in features}
+    return {name: [f for f, g in groups.items() if without not in g and (only is None or only in g)] for name, (without, only) in SCENARIOS.items()}
+
+
 def environmental(features: list[str]) -> list[str]:
     """Features that hold no case history, own or neighbours'."""
     return [f for f in features if "case" not in f and "neighbor" not in f]

@@ -36,7 +36,8 @@ def geojson_all(spark, d):
     return rows.select("cell", "horizon", ring.alias("ring"), F.round("risk_percent", 4).alias("risk_percent"))
 
 
-@query()
+@query(f"""WITH {GRID}, corner AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS k), xy AS (SELECT k, CAST([0, -0.015, -0.015, 0, 0.015, 0.015, 0][k + 1] AS DOUBLE) AS x, CAST([0.02, 0.01, -0.01, -0.02, -0.01, 0.01, 0.02][k + 1] AS DOUBLE) AS y FROM corner), ring AS (SELECT cell, district, state, string_agg('[' || (center_lon + x) || ',' || (center_lat + y) || ']', ',' ORDER BY k) AS ring, {PERCENT.format(v='v', m='m')} AS p FROM grid, xy WHERE horizon = 1 GROUP BY cell, district, state, v, m)
+SELECT cell, '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[' || ring || ']]}},"properties":{{"cell":' || cell || ',"district":"' || district || '","state":"' || state || '","risk_percent":' || p || ',"is_aggregate":false}}}}' AS feature FROM ring""")
 def geojson_polygons(spark, d):
     """GeoJSON polygon features of all cells at the first horizon."""
     rows = risk.at_all_horizons(T.cells(spark, d), horizons(spark, d), "v", [1])

@@ -260,6 +260,10 @@ def test_search_rules(spark):
 def test_feature_rules():
     names = ["cases_lag_1", "neighbor_cases_k1_lag1", "rain_lag_1", "sin_week", "frac_built", "dtr_lag_1"]
     assert explain.environmental(names) == ["rain_lag_1", "sin_week", "frac_built", "dtr_lag_1"]
+    assert explain.ablation_groups("neighbor_case_mean") == {"Spatial_Neighbors"} and explain.ablation_groups("elevation") == {"Ecology_Population"}
+    scenarios = explain.ablation_scenarios(["cases_lag_1", "rain_lag_1", "tmin_lag_1", "sin_week", "frac_built", "dtr", "neighbor_cases"])
+    assert scenarios["No Weather"] == ["cases_lag_1", "sin_week", "frac_built", "dtr", "neighbor_cases"]
+    assert scenarios["Only Base Cases (No Exogenous)"] == ["cases_lag_1"] and len(scenarios) == 6
     assert [explain.feature_group(n) for n in names] == ["History", "Spatial", "Rain", "Season", "Land", "Misc"]
 
 

@@ -39,6 +39,6 @@ def test_same_rows(name, spark, duck, data):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"poisson_disagg", "ablation"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(name, spark, data):
     assert QUERIES[name](spark, data).count() > 0
