@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hexcast.functions import exprs as X
 from hexcast.operators import alerts, risk
 from hexcast.plans.queries import CELLS, KEYS, PERCENT, RISK_A, WEATHER, query
+from hexcast.session import shared_folder
+from hexcast.sources import files
 from hexcast.sources import tables as T
 
 HORIZON = "h AS (SELECT o_custkey AS cell, CAST(o_orderkey % 4 + 1 AS INTEGER) AS horizon, sum(o_totalprice) / 100000 AS v FROM orders GROUP BY 1, 2)"
@@ -93,3 +97,45 @@ def unscaled_coefficients(spark, d):
 
     out = unscaled(T.table(spark, d, "lineitem"), 2.0, {"l_quantity": 0.5, "l_discount": -0.25, "l_tax": 0.1})
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+# ---- files: written by the sinks, read back by the readers ----------------------------------------
+
+
+@query("SELECT c_custkey AS cell, c_name AS name, round(c_acctbal, 2) AS balance FROM customer WHERE c_nationkey < 5")
+def csv_files(spark, d):
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    files.write_csv(T.table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal"), path)
+    rows = files.read_csv(spark, path, "c_custkey long, c_name string, c_nationkey long, c_acctbal double").where("c_nationkey < 5")
+    return rows.select(F.col("c_custkey").alias("cell"), F.col("c_name").alias("name"), F.round("c_acctbal", 2).alias("balance"))
+
+
+@query("SELECT o_custkey AS cell, o_orderstatus AS disease, CAST(o_orderkey % 4 + 1 AS INTEGER) AS horizon, count(*) AS n FROM orders WHERE o_orderkey % 4 + 1 = 2 GROUP BY 1, 2, 3")
+def feature_files(spark, d):
+    """Gzip JSON lines by disease and horizon, under a folder of their week; one horizon's folders are read."""
+    path = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
+    rows = T.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("cell"), F.col("o_orderstatus").alias("disease"), (F.col("o_orderkey") % 4 + 1).cast("int").alias("horizon"))
+    files.write_features(rows.agg(F.count(F.lit(1)).alias("n")), path, 2024, 7)
+    return spark.read.schema("cell long, n long, disease string, horizon int").json(f"{path}/{files.version(2024, 7)}").where("horizon = 2").select("cell", "disease", "horizon", "n")
+
+
+@query("SELECT l_returnflag AS flag, l_orderkey AS cell, l_linenumber AS line, l_quantity AS value FROM lineitem WHERE l_returnflag = 'R'")
+def partitioned_parquet(spark, d):
+    """Parquet folders by flag, one of them read."""
+    path = f"{shared_folder(spark)}/parquet-{uuid.uuid4().hex}"
+    rows = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("cell"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("value"), F.col("l_returnflag").alias("flag"))
+    files.write_parquet(rows, path, "flag")
+    return spark.read.parquet(path).where("flag = 'R'").select("flag", "cell", "line", "value")
+
+
+@query("WITH w AS (SELECT l_orderkey AS cell, count(*) AS days, round(max(CAST(20 AS DOUBLE) + CAST(100 AS DOUBLE) * l_discount), 6) AS warmest, sum(l_quantity) AS rain FROM lineitem GROUP BY 1) SELECT CAST(cell AS VARCHAR) AS h3_index, days, warmest, rain FROM w", rain="DOUBLE")
+def weather_documents(spark, d):
+    """Nested weather documents, one for each order (a few lines), written as JSON and read by the documents' reader."""
+    path = f"{shared_folder(spark)}/weather-{uuid.uuid4().hex}"
+    day = F.struct("l_linenumber", (F.lit(20.0) + F.lit(100.0) * F.col("l_discount")).alias("tmax"), F.col("l_quantity").cast("double").alias("rain"))
+    docs = T.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("h3_index")).agg(F.sort_array(F.collect_list(day)).alias("days"))
+    daily = F.struct(F.col("days.tmax").alias("temperature_2m_max"), F.col("days.tmax").alias("temperature_2m_min"), F.col("days.rain").alias("precipitation_sum"))
+    files.write_json(docs.select("h3_index", daily.alias("daily")), path)
+    rows = spark.read.schema(files.WEATHER_DOCS).json(path)
+    total = F.aggregate("daily.precipitation_sum", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("h3_index", F.size("daily.precipitation_sum").cast("long").alias("days"), F.round(F.array_max("daily.temperature_2m_max"), 6).alias("warmest"), total.alias("rain"))
