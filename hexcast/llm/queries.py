@@ -12,9 +12,12 @@ from hexcast.llm.decontaminate import contaminated
 from hexcast.llm.fingerprints import edited_fingerprints
 from hexcast.llm.htmltext import extract_text
 from hexcast.llm.jaccard import similar_classes
+from hexcast.llm.langid import fit_languages, predict_language
 from hexcast.llm.linededup import dedup_lines
+from hexcast.llm.merkle import merkle_manifest
 from hexcast.llm.oracles import ORACLES, SHARDS
 from hexcast.llm.packing import pack_lengths, token_pieces
+from hexcast.llm.periodic import find_runs
 from hexcast.llm.pii import KINDS, find_pii, joined
 from hexcast.llm.shared import documents, scratch_dir, written
 from hexcast.llm.sharding import balanced_shards
@@ -96,4 +99,52 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_pii": op6_pii, "op7_jaccard_join": op7_jaccard_join, "op8_line_dedup": op8_line_dedup, "op9_html_extraction": op9_html_extraction, "op10_token_files": op10_token_files}
+def id_crc32() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upper = "".join(map(chr, range(ord("A"), ord("Z") + 1)))
+    lowered = {"text": F.translate("text", upper, upper.lower())}
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    rows = merkle_manifest(documents(spark, sf_dir), fields, lowered, id_crc32() % 5 == 0)
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("siblings").cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def looped_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in one document of ten, the words from a place on repeat; place and period follow from its id."""
+    h = id_crc32()
+    chosen = docs.select("doc_id", "text", h.alias("h")).where(h % 10 == 0)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    split = chosen.select("doc_id", words.alias("w"), F.floor(F.col("h") / 10).cast("long").alias("g")).where(F.size("w") > 0)
+    split = split.withColumn("a", F.expr("g % size(w)")).withColumn("p", F.expr("1 + (size(w) - a) div (3 + g % 8)"))
+    looped = F.expr("transform(w, (x, i) -> if(i < a, x, element_at(w, cast(a + (i - a) % p + 1 as int))))")
+    same = docs.where(F.coalesce(h % 10 != 0, F.lit(True)) | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return same.select("doc_id", "text").unionByName(split.select("doc_id", F.array_join(looped, " ").alias("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(looped_texts(documents(spark, sf_dir)))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = F.coalesce(id_crc32() % 4 == 2, F.lit(False))
+    trees = fit_languages(docs.where(~out).select("lang", "text"))
+    found = predict_language(docs.select("doc_id", "text"), trees)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {
+    "op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing,
+    "op5_fingerprints": op5_fingerprints, "op6_pii": op6_pii, "op7_jaccard_join": op7_jaccard_join, "op8_line_dedup": op8_line_dedup,
+    "op9_html_extraction": op9_html_extraction, "op10_token_files": op10_token_files, "op11_merkle": op11_merkle,
+    "op12_periodic_runs": op12_periodic_runs, "op13_language": op13_language,
+}
