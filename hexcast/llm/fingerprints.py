@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import unicodedata
 
-import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +49,10 @@ def _digests(docs: DataFrame, key: str, text: str) -> DataFrame:
             forms = [canonical(t) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["key"], "row": batch["row"], "digest": [digest(f) for f in forms], "second": [second_digest(f) for f in forms]})
 
-    rows = _rows(docs, key, text)
-    return rows.mapInPandas(lean(each), "doc_id long, row long, digest string, second string")
+    # the key goes through Python as text, which keeps 64-bit numbers exact beside nulls
+    rows = _rows(docs, key, text).withColumn("key", F.col("key").cast("string"))
+    rows = rows.mapInPandas(lean(each), "doc_id string, row long, digest string, second string")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -141,65 +143,64 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def with_next(docs: DataFrame, make, schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Map each document together with the text of the next one in ascending key order.
+    """Map each document together with the text of the next one in ascending key order; the result is written.
 
-    make(key, row, text, next_text) gives a tuple of schema. After the last document comes the first; a
-    single document is its own next. Null keys come first, rows of equal key are ordered by text hash.
-    Documents are dealt to key ranges of nearly equal counts; the first document of a range is also sent
-    to the range before it, so each text crosses the network about once.
+    make(key, row, text, next_text) gives a tuple of schema, whose first column is the key (text here, long in the result). After
+    the last document comes the first; a single document is its own next. Null keys come first, rows of equal key are ordered by
+    text hash, equal rows by reading order, so a key that a third of the rows share still spreads over many ranges.
+    Documents are dealt to ranges of nearly equal counts, and each text crosses the network once; only the first and last
+    document of each range are joined afterwards.
     """
-    n = width(docs.sparkSession)
-    ids = docs.select(F.col(key).cast("long").alias("key"))
-    cuts = ids.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else []
-    cuts = np.array(sorted(set(cuts or [])), np.int64)  # fewer than one for each shuffle partition
-
-    def block_of(keys: pd.Series) -> np.ndarray:
-        known = keys.notna().to_numpy()
-        return np.where(known, np.searchsorted(cuts, keys.fillna(0).astype("int64")), 0)
-
-    def lowest(batches):
-        for batch in batches:
-            blocks = block_of(batch["key"])
-            low = batch["key"].groupby(blocks).agg(["min", lambda k: k.isna().any()])
-            yield pd.DataFrame({"block": low.index, "low": low["min"].astype("Int64"), "has_null": low.iloc[:, 1].astype(bool)})
-
-    firsts = ids.mapInPandas(lean(lowest), "block int, low long, has_null boolean").groupBy("block")
-    firsts = firsts.agg(F.min("low").alias("low"), F.max("has_null").alias("has_null")).orderBy("block").collect()
-    homes = [r["block"] for r in firsts]  # one row for each block
-    extra = {None if r["has_null"] else r["low"]: homes[k - 1] for k, r in enumerate(firsts)}
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def deal(batches):
+    def squeezed(batches):
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            packed = [squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in batch["text"]]
-            own = batch.assign(text=packed, block=block_of(batch["key"]), late=0)
-            yield own
-            keys = [None if pd.isna(k) else int(k) for k in batch["key"]]
-            first = own[[k in extra for k in keys]]
-            if len(first):
-                yield first.assign(block=[extra[k] for k in keys if k in extra], late=1)
+            yield batch.assign(text=[squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in batch["text"]])
 
     def pairs(batches):
         import zstandard
 
+        part = TaskContext.get().partitionId()
         loose = zstandard.ZstdDecompressor()
-        held = None
-        out = []
+        held, out = None, []
+        edge = lambda r, which: (*[None] * len(names), part, which, r.key, r.row, r.text)
+        columns = [*names, "part", "edge", "at_key", "at_row", "at_text"]
         for batch in batches:
             for r in batch.itertuples(index=False):
-                this = (r.block, None if pd.isna(r.key) else int(r.key), r.row, loose.decompress(r.text).decode("utf-8", "surrogatepass"), r.late)
-                if held and held[0] == this[0] and not held[4]:
-                    out.append(make(*held[1:4], this[3]))
-                held = this if not (held and held[0] == this[0] and held[4]) else held
+                whole = loose.decompress(r.text).decode("utf-8", "surrogatepass")
+                if held:
+                    out.append((*make(held[0].key, held[0].row, held[1], whole), part, None, None, None, None))
+                else:
+                    out.append(edge(r, "first"))
+                held = (r, whole)
                 if len(out) >= 1000:
-                    yield pd.DataFrame(out, columns=names)
+                    yield pd.DataFrame(out, columns=columns, dtype=object)
                     out = []
-        if out:
-            yield pd.DataFrame(out, columns=names)
+        if held:
+            out.append(edge(held[0], "last"))
+            yield pd.DataFrame(out, columns=columns, dtype=object)
 
-    names = [c.split()[0] for c in schema.split(", ")]
-    dealt = _rows(docs, key, text).mapInPandas(lean(deal), "key long, row long, text binary, block int, late int")
-    dealt = dealt.repartitionById(n, F.col("block")).sortWithinPartitions("block", "late", "key", "row")
-    return dealt.mapInPandas(lean(pairs), schema)
+    def joined(batches):
+        import zstandard
+
+        loose = lambda t: zstandard.ZstdDecompressor().decompress(t).decode("utf-8", "surrogatepass")
+        for batch in batches:
+            rows = [make(r.at_key, r.at_row, loose(r.at_text), loose(r.next_text)) for r in batch.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    # the key goes through Python as text, which keeps 64-bit numbers exact beside nulls
+    plain = schema.replace("doc_id long", "doc_id string", 1)
+    dealt = _rows(docs, key, text).withColumn("tie", F.monotonically_increasing_id()).withColumn("key", F.col("key").cast("string"))
+    dealt = dealt.mapInPandas(lean(squeezed), "key string, row long, text binary, tie long").withColumn("number", F.col("key").cast("long"))
+    dealt = dealt.repartitionByRange(width(docs.sparkSession), "number", "row", "tie").sortWithinPartitions("number", "row", "tie")
+    found = written(dealt.select("key", "row", "text").mapInPandas(lean(pairs), f"{plain}, part int, edge string, at_key string, at_row long, at_text binary"), "pairs")
+
+    parts = sorted(r["part"] for r in found.where("edge = 'first'").select("part").collect())  # one number for each range
+    after = F.create_map(*[F.lit(x) for p, q in zip(parts, parts[1:] + parts[:1], strict=True) for x in (p, q)]) if parts else F.lit(None)
+    firsts = found.where("edge = 'first'").select(F.col("part").alias("next_part"), F.col("at_text").alias("next_text"))
+    lasts = found.where("edge = 'last'").select("at_key", "at_row", "at_text", (after[F.col("part")] if parts else F.lit(None).cast("int")).alias("next_part"))
+    ends = lasts.join(firsts, "next_part").drop("next_part").mapInPandas(lean(joined), plain)
+    return found.where("edge is null").select(*names).unionByName(ends).withColumn("doc_id", F.col("doc_id").cast("long"))

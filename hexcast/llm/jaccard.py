@@ -143,7 +143,9 @@ def similar_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, key
     n = width(docs.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))
     source = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(whole).alias("row"), whole.alias("text"))
-    rows = written(source.mapInPandas(lean(sketch), "doc_id long, row long, uid long, one long, two long, bands array<long>"), "sketches")
+    # the key goes through Python as text, which keeps 64-bit numbers exact beside nulls
+    rows = source.withColumn("key", F.col("key").cast("string")).mapInPandas(lean(sketch), "doc_id string, row long, uid long, one long, two long, bands array<long>")
+    rows = written(rows.withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
 
     # one node for each word sequence
     place = F.struct("doc_id", "row", "uid")

@@ -41,13 +41,15 @@ def token_pieces(
             stop = np.cumsum(length) * 4
             data = flat.tobytes()
             yield pd.DataFrame({
-                "doc_id": batch["key"].array[doc], "start": start, "length": length, "doc_tokens": n[doc],
+                "doc_id": batch["key"].to_numpy()[doc], "start": start, "length": length, "doc_tokens": n[doc],
                 "ids": [data[b - 4 * k : b] for b, k in zip(stop.tolist(), length.tolist(), strict=True)],
             })
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInPandas(lean(cut), "doc_id long, start long, length long, doc_tokens long, ids binary")
+    # the key goes through Python as text, which keeps 64-bit numbers exact beside nulls
+    rows = docs.select(F.col(key).cast("long").cast("string").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.mapInPandas(lean(cut), "doc_id string, start long, length long, doc_tokens long, ids binary")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack_histogram(counts: dict[int, int], size: int) -> pd.DataFrame:

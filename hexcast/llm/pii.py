@@ -1,8 +1,8 @@
 """Operator 6, PII: generators propose spans, boosted trees select, base patterns always stay.
 
 High-recall generators propose overlapping spans (separated or bare digits, written-out addresses,
-dotted numbers). Boosted trees score each proposal from format and context features; a calibrated
-threshold decides which proposals are added. No labelled spans exist, so the trees are fitted on
+dotted numbers). Boosted trees score each proposal from format and context features; a threshold calibrated for
+its kind decides which proposals are added. No labelled spans exist, so the trees are fitted on
 TRAINING_SPANS seeded synthetic sentences in the formats that people write, half of them look-alikes
 (versions, amounts, dates, part numbers).
 """
@@ -10,6 +10,7 @@ TRAINING_SPANS seeded synthetic sentences in the formats that people write, half
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -190,16 +191,44 @@ def synthetic_spans(n: int, seed: int = 5) -> list[tuple[str, int, int, str, int
 
 
 def fit_selector(spark: SparkSession):
-    """(model, threshold): boosted trees on half of the synthetic spans, the threshold on the other."""
-    rows = [([float(x) for x in features(t, a, b, k)], float(y), i % 4 < 2) for i, (t, a, b, k, y) in enumerate(synthetic_spans(TRAINING_SPANS))]
-    data = spark.createDataFrame(rows, "features array<double>, label double, fit boolean")
+    """(model, thresholds): boosted trees on half of the synthetic spans, a threshold for each kind on the other.
+
+    A kind's threshold is the least probability, 0.5 or more, down to which its held spans have the wanted precision.
+    """
+    rows = [([float(x) for x in features(t, a, b, k)], float(y), i % 4 < 2, k) for i, (t, a, b, k, y) in enumerate(synthetic_spans(TRAINING_SPANS))]
+    data = spark.createDataFrame(rows, "features array<double>, label double, fit boolean, kind string")
     data = data.repartition(1).withColumn("features", array_to_vector("features"))
     model = GBTClassifier(maxIter=20, maxDepth=4, seed=3).fit(data.where("fit"))
-    held = model.transform(data.where("not fit")).select(vector_to_array("probability")[1].alias("p"), "label").toPandas()
-    held = held.sort_values("p", ascending=False)  # at most TRAINING_SPANS rows
-    precision = held["label"].cumsum() / np.arange(1, len(held) + 1)
-    threshold = max(0.5, float(held["p"][precision >= PRECISION].min()))
-    return model, threshold
+    held = model.transform(data.where("not fit")).select(vector_to_array("probability")[1].alias("p"), "label", "kind").toPandas()
+    thresholds = {}
+    for kind, own in held.sort_values(["p", "label"], ascending=False).groupby("kind"):  # at most TRAINING_SPANS rows
+        precision = own["label"].cumsum() / np.arange(1, len(own) + 1)
+        good = own["p"][precision >= PRECISION]
+        thresholds[kind] = max(0.5, float(good.min())) if len(good) else 1.1
+    return model, thresholds
+
+
+class Taken:
+    """Disjoint spans in order; finding room for one costs the logarithm of their number."""
+
+    def __init__(self, spans=()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return k == 0 or self.ends[k - 1] <= a
+
+    def take(self, a: int, b: int) -> None:
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
 
 
 def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -219,10 +248,10 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             base, extra = [], []
             for t in batch["text"]:
                 b = base_spans(t)
-                taken = np.zeros(0, np.int64) if not b else np.array([[s[0], s[1]] for s in b])
+                taken = Taken((s[0], s[1]) for s in b)
                 more = []
                 for s in proposals(t):
-                    if not (len(taken) and ((taken[:, 0] < s[1]) & (taken[:, 1] > s[0])).any()):
+                    if taken.free(s[0], s[1]):
                         more.append({"start": s[0], "end": s[1], "kind": s[2], "features": features(t, *s)})
                 base.append([{"start": s[0], "end": s[1], "kind": s[2]} for s in b])
                 extra.append(more)
@@ -231,13 +260,15 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             done += n
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # the key goes through Python as text, which keeps 64-bit numbers exact beside nulls
+    rows = docs.select(F.col(key).cast("long").cast("string").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     fields = "array<struct<start: int, end: int, kind: string, features: array<double>>>"
-    scanned = written(rows.mapInPandas(lean(scan), f"doc_id long, uid long, base array<{span}>, extra {fields}"), "pii")
-    model, threshold = fit_selector(docs.sparkSession)
+    scanned = written(rows.mapInPandas(lean(scan), f"doc_id string, uid long, base array<{span}>, extra {fields}"), "pii")
+    model, thresholds = fit_selector(docs.sparkSession)
     found = scanned.select("uid", F.explode("extra").alias("c")).select("uid", "c.*")
     scored = model.transform(found.withColumn("features", array_to_vector("features")))
-    scored = scored.withColumn("p", vector_to_array("probability")[1]).where(F.col("p") >= threshold)
+    needed = F.create_map(*[F.lit(x) for pair in thresholds.items() for x in pair])
+    scored = scored.withColumn("p", vector_to_array("probability")[1]).where(F.col("p") >= needed[F.col("kind")])
     likely = scored.groupBy("uid").agg(F.collect_list(F.struct((-F.col("p")).alias("q"), "start", "end", "kind")).alias("likely"))
 
     @F.pandas_udf(f"array<{span}>")
@@ -246,8 +277,10 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             if m is None:
                 return [dict(r) for r in b]
             kept = [(r["start"], r["end"], r["kind"]) for r in b]
+            taken = Taken((a, e) for a, e, _ in kept)
             for r in sorted(m, key=lambda r: (r["q"], r["start"], r["end"], r["kind"])):
-                if all(r["end"] <= s[0] or s[1] <= r["start"] for s in kept):
+                if taken.free(r["start"], r["end"]):
+                    taken.take(r["start"], r["end"])
                     kept.append((r["start"], r["end"], r["kind"]))
             kept.sort(key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
             return [{"start": a, "end": e, "kind": k} for a, e, k in kept]
@@ -256,7 +289,7 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     out = scanned.select("doc_id", "uid", "base").join(likely, "uid", "left")
     out = out.withColumn("chosen", choose("base", "likely"))
-    return out.select("doc_id", "base", F.col("chosen").alias("spans"))
+    return out.select(F.col("doc_id").cast("long"), "base", F.col("chosen").alias("spans"))
 
 
 def joined(spans: str):

@@ -57,7 +57,7 @@ def write_token_files(
                 reach = np.searchsorted(stops + np.arange(1, len(n) + 1) - (stops[at - 1] + at if at else 0) + held, SEGMENT_IDS) + 1
                 to = min(len(n), max(int(reach), at + 1))
                 a, b = (stops[at - 1] + at if at else 0), stops[to - 1] + to
-                keys.append([None if pd.isna(k) else int(k) for k in batch["key"].iloc[at:to]])
+                keys.append([None if k is None else int(k) for k in batch["key"].iloc[at:to]])
                 ids.append(flat[a:b])
                 sizes.append(n[at:to] + 1)
                 held += b - a
@@ -73,7 +73,8 @@ def write_token_files(
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.monotonically_increasing_id())
     rows = rows.repartitionByRange(width(docs.sparkSession), "key", "tie").sortWithinPartitions("key", "tie")
-    rows.select("key", "text").mapInPandas(lean(encode), _SEGMENT).write.option("compression", "none").parquet(path)
+    # the key goes through Python as text, which keeps 64-bit numbers exact beside nulls
+    rows.select(F.col("key").cast("string"), "text").mapInPandas(lean(encode), _SEGMENT).write.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -91,7 +92,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 data = ids.tobytes()
                 yield pd.DataFrame({
                     "part": r.part,
-                    "doc_id": pd.array([None if pd.isna(k) else int(k) for k in r.doc_ids], "Int64"),
+                    "doc_id": r.doc_ids,
                     "start": r.id_start + stops - sizes,
                     "n_tokens": sizes,
                     "ids": [data[4 * (b - n) : 4 * b] for b, n in zip(stops.tolist(), sizes.tolist(), strict=True)],
@@ -103,6 +104,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     # one row per written partition: bounded by the partition count
     bases = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
     bases = bases.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    rows = segments.mapInPandas(lean(decode), "part int, doc_id long, start long, n_tokens long, ids binary")
+    segments = segments.withColumn("doc_ids", F.col("doc_ids").cast("array<string>"))
+    rows = segments.mapInPandas(lean(decode), "part int, doc_id string, start long, n_tokens long, ids binary")
     rows = rows.join(F.broadcast(bases), "part")
-    return rows.select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids")
+    return rows.select(F.col("doc_id").cast("long"), (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids")
