@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from hexcast.llm.shared import lean, small_batches, written
 
 ORDER = 4
-CONTEXTS = 1 << 17  # of all trees together; each has at most 256 bytes
+CONTEXTS = 1 << 16  # of all trees together; each has at most 256 bytes
 BLOCK = 1 << 20  # bytes looked at together
 HELD = 1 << 20  # different strings a task counts before it hands them on
 PAD = b"\n" * ORDER  # stands before each text
@@ -171,8 +171,14 @@ class Tree:
 def fit_languages(rows: DataFrame, contexts: int = CONTEXTS) -> dict[str, Tree]:
     """Trees by language from rows (lang, text); null languages and texts are left out."""
     rows = rows.where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    kept = context_trees(written(string_counts(rows), "strings"), contexts).toPandas()  # bounded by contexts
-    return {str(lang): Tree(*(t[c].to_numpy() for c in ("size", "node", "n"))) for lang, t in sorted(kept.groupby("lang"), key=lambda x: x[0].encode())}
+    kept = written(context_trees(written(string_counts(rows), "strings"), contexts), "trees")
+    names = sorted((r["lang"] for r in kept.select("lang").distinct().collect()), key=str.encode)  # no more than contexts
+    if not names:
+        return {}
+    number = (F.array_position(F.lit(names), F.col("lang")) - 1).cast("int")
+    found = kept.select(number.alias("lang"), F.col("size").cast("byte").alias("size"), "node", "n").toArrow()  # bounded by contexts
+    lang, size, node, n = (found.column(c).to_numpy() for c in ("lang", "size", "node", "n"))
+    return {name: Tree(size[here], node[here], n[here]) for k, name in enumerate(names) if len(here := np.flatnonzero(lang == k))}
 
 
 def has_letter(text: Column) -> Column:
