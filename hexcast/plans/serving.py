@@ -13,7 +13,7 @@ from hexcast.session import shared_folder
 from hexcast.sources import files
 from hexcast.sources import tables as T
 
-HORIZON = "h AS (SELECT o_custkey AS cell, CAST(o_orderkey % 4 + 1 AS INTEGER) AS horizon, sum(o_totalprice) / 100000 AS v FROM orders GROUP BY 1, 2)"
+HORIZON = "h AS (SELECT o_custkey AS cell, CAST(o_orderkey % 4 + 1 AS INTEGER) AS horizon, round(sum(o_totalprice), 2) / 100000 AS v FROM orders GROUP BY 1, 2)"
 GRID = f"""{CELLS}, {HORIZON}, top AS (SELECT horizon, coalesce(nullif(max(v), 0), 1.0) AS m FROM h GROUP BY 1),
 grid AS (SELECT cell, district, state, center_lon, center_lat, g.horizon, coalesce(v, 0.0) AS v, m
   FROM (SELECT *, CAST(unnest([1, 2, 3, 4]) AS INTEGER) AS horizon FROM cells) g LEFT JOIN h USING (cell, horizon) JOIN top USING (horizon))"""
@@ -22,7 +22,7 @@ grid AS (SELECT cell, district, state, center_lon, center_lat, g.horizon, coales
 def horizons(spark, d):
     """A prediction for each cell and horizon: the orders' sums by horizon stand for them."""
     orders = T.table(spark, d, "orders").select(F.col("o_custkey").alias("cell"), (F.col("o_orderkey") % 4 + 1).cast("int").alias("horizon"), "o_totalprice")
-    return orders.groupBy("cell", "horizon").agg((F.sum("o_totalprice") / 100000).alias("v"))
+    return orders.groupBy("cell", "horizon").agg((F.round(F.sum("o_totalprice"), 2) / 100000).alias("v"))  # in cents: sums of doubles differ in their last bits
 
 
 @query(f"WITH {GRID} SELECT cell, district, state, horizon, round(v, 4) AS risk, {PERCENT.format(v='v', m='m')} AS risk_percent FROM grid")
