@@ -1,10 +1,13 @@
 """Operator 7, n-gram Jaccard join: MinHash bands, then full word-shingle sets.
 
 Band and row counts are chosen for the target recall. Texts of equal words are joined first, so copies
-count once. Band hashes are shuffled; texts that share one are candidates. Candidates are compared within
-their connected group, in blocks of BLOCK by BLOCK texts, with the full sets of word shingles: a block
-gives link counts and a spanning forest, never its pairs, so a group of any size spreads over tasks and
-loses no link.
+count once. Band hashes are shuffled; texts that share one are candidates, and are compared with the full sets of word
+shingles in blocks of BLOCK by BLOCK texts: a block gives link counts and a spanning forest, never its pairs, so a group of
+any size spreads over tasks and loses no link.
+
+What is compared together is a connected group of candidates or, where that is less work, each of its band buckets, a pair
+counting in the first band that it shares. So chance collisions that join many groups into one cost no more than the
+texts that share a bucket, and a large group of near copies, which shares most buckets, is not sent once for each of them.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hexcast.llm.shared import components, key_filter, lean, maybe_with_keys, small_batches, width, written
@@ -52,7 +55,21 @@ def band_hashes(shingles: np.ndarray, number: np.ndarray, bands: int, rows: int,
     return out
 
 
-def _links(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def by_buckets(work_of_group: Column, work_of_buckets: Column) -> Column:
+    """Whether a group of candidates is compared by buckets; both ways find the same links between texts that share a band."""
+    return work_of_buckets < work_of_group
+
+
+def shared_before(bands: list, band: int) -> np.ndarray:
+    """Pairs of texts that share a band before this one."""
+    each = np.array([b[:band] for b in bands], np.int64).reshape(len(bands), band)
+    out = np.zeros((len(bands), len(bands)), bool)
+    for k in range(band):
+        out |= each[:, k, None] == each[None, :, k]
+    return out
+
+
+def _links(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray, similarity: float, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (weighted) of each set and the least member of its linked group, within sets or across two sides."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.float64)
@@ -73,6 +90,8 @@ def _links(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray, simila
         common += part @ part.T
     near = common * (1 + similarity) >= similarity * (sizes[:, None] + sizes[None, :]) - 1e-6
     near &= side[:, None] != side[None, :] if side.any() else ~np.eye(m, dtype=bool)
+    if skip is not None:
+        near &= ~skip
     root = np.arange(m)
     while True:
         least = np.where(near, root[None, :], m).min(1)
@@ -123,9 +142,9 @@ def similar_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, key
         held, at = [], None
         for batch in batches:
             for r in batch.itertuples(index=False):
-                if (r.component, r.i, r.j) != at:
+                if (r.unit, r.i, r.j) != at:
                     yield from flush(held)
-                    held, at = [], (r.component, r.i, r.j)
+                    held, at = [], (r.unit, r.i, r.j)
                 held.append(r)
         yield from flush(held)
 
@@ -135,7 +154,8 @@ def similar_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, key
             return
         nodes = np.array([r.node for r in rows])
         side = np.array([r.block != r.i for r in rows])
-        links, root = _links([np.frombuffer(r.shingles, np.uint64) for r in rows], np.array([r.weight for r in rows]), side, similarity)
+        skip = shared_before([r.bands for r in rows], rows[0].band) if rows[0].band > 0 else None
+        links, root = _links([np.frombuffer(r.shingles, np.uint64) for r in rows], np.array([r.weight for r in rows]), side, similarity, skip)
         some = links > 0
         yield pd.DataFrame({"node": nodes[some], "links": links[some].astype(np.int64), "root": nodes[root[some]]})
 
@@ -153,26 +173,37 @@ def similar_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, key
     nodes = written(nodes.select("one", "two", "p.doc_id", "p.row", F.col("p.uid").alias("node"), "weight", "bands"), "nodes")
 
     # candidates: nodes that share a band hash, linked through the least node of the band's bucket
-    buckets = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket"))
+    buckets = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", "band", F.xxhash64("band", "hash").alias("bucket"))
     least = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    hits = buckets.join(written(least.select("bucket", "low"), "buckets"), "bucket").where("node <> low")
+    least = written(least, "buckets")
+    hits = buckets.join(least.select("bucket", "low"), "bucket").where("node <> low")
     groups = components(hits.select(F.col("node").alias("a"), F.col("low").alias("b")))
     groups = written(groups, "candidates")
 
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = groups.join(written(sizes.withColumn("blocks", blocks).drop("m"), "blocks"), "component")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(nodes.select("node", "doc_id", "row", "weight"), "node")
-    dealt = written(dealt, "dealt")
+    # units of comparison: a group of candidates or, where that is less work, its buckets
+    blocks = lambda size: F.ceil(F.col(size) / BLOCK)
+    work = least.select(F.col("low").alias("node"), (F.col("n") * blocks("n")).alias("work")).join(groups, "node").groupBy("component").agg(F.sum("work").alias("work"))
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("m")).join(work, "component")
+    sizes = sizes.select("component", blocks("m").cast("int").alias("blocks"), by_buckets(F.col("m") * blocks("m"), F.col("work")).alias("split"))
+    dealt = written(groups.join(written(sizes, "sizes"), "component"), "dealt")
+    whole_groups = dealt.where("not split").select("node", F.col("component").alias("unit"), "blocks", F.lit(-1).alias("band"))
+    split = dealt.where("split").select("node")
+    in_buckets = buckets.join(split, "node").join(least.select("bucket", blocks("n").cast("int").alias("blocks")), "bucket")
+    units = whole_groups.unionByName(in_buckets.select("node", F.col("bucket").alias("unit"), "blocks", "band"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    units = units.groupBy("node").agg(F.collect_list(F.struct("unit", "blocks", block.alias("block"), "band")).alias("units"))  # at most one for each band
+    bands_of = F.when(F.exists("units", lambda u: u["band"] >= 0), F.col("bands")).alias("bands")
+    dealt = units.join(nodes.select("node", "doc_id", "row", "weight", "bands"), "node").select("node", "doc_id", "row", "weight", "units", bands_of)
+    dealt = written(dealt, "units")
     texts = maybe_with_keys(source, "row", key_filter(dealt, "row"))
     texts = texts.join(dealt, (texts["row"] == dealt["row"]) & texts["key"].eqNullSafe(dealt["doc_id"]))
-    schema = "component long, blocks int, block int, node long, weight long"
-    ready = texts.select("component", "blocks", "block", "node", "weight", "text").mapInPandas(lean(sets), f"{schema}, shingles binary")
+    unit = "struct<unit: long, blocks: int, block: int, band: int>"
+    ready = texts.select("node", "weight", "units", "bands", "text").mapInPandas(lean(sets), f"node long, weight long, units array<{unit}>, bands array<long>, shingles binary")
+    ready = ready.select("node", "weight", "bands", "shingles", F.explode("units").alias("u")).select("*", "u.*")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     ready = ready.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    ready = ready.select("component", "i", "j", "block", "node", "weight", "shingles")
-    ready = ready.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    ready = ready.select("unit", "i", "j", "block", "band", "node", "weight", "shingles", F.when(F.col("band") > 0, F.col("bands")).alias("bands"))
+    ready = ready.repartition(n, "unit", "i", "j").sortWithinPartitions("unit", "i", "j")
     found = written(ready.mapInPandas(lean(compare), "node long, links long, root long"), "links")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

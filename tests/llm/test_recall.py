@@ -86,3 +86,19 @@ def test_similarity_join_on_whole_table(spark, data):
     want = brute_classes([r["text"] for r in docs])
     found = sorted(queries.op7_jaccard_join(spark, data).collect(), key=lambda r: r["doc_id"])
     assert [(r["class_id"], r["n_links"]) for r in found] == [(docs[c]["doc_id"], n) for c, n in want]
+
+
+def test_groups_by_buckets_count_each_pair_once(spark, data, monkeypatch):
+    """All groups compared by buckets in small blocks, and all whole, give the same links."""
+    from hexcast.llm import jaccard
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty " * 3
+    chain = [base.replace("seven", f"seven{k // 3}").replace("twelve", f"twelve{k // 5}") + " ".join(f"w{j}" for j in range(k, k + 40)) for k in range(30)]
+    docs = docs.unionByName(spark.createDataFrame([(100_000 + k, t) for k, t in enumerate(chain)], "doc_id long, text string"))
+    found = []
+    for split in (True, False):
+        monkeypatch.setattr(jaccard, "BLOCK", 3 if split else 512)
+        monkeypatch.setattr(jaccard, "by_buckets", lambda group, buckets, split=split: (group > 0) == split)
+        found.append(sorted(map(tuple, jaccard.similar_classes(docs).collect())))
+    assert found[0] == found[1] and sum(r[4] > 0 for r in found[0]) > 50
