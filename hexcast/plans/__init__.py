@@ -1,5 +1,5 @@
 """Registered queries with their SQL oracles."""
 
-from hexcast.plans import hexagons, queries, serving
+from hexcast.plans import hexagons, queries, serving, storage
 
-__all__ = ["hexagons", "queries", "serving"]
+__all__ = ["hexagons", "queries", "serving", "storage"]

@@ -25,10 +25,11 @@ def horizons(spark, d):
     return orders.groupBy("cell", "horizon").agg((F.round(F.sum("o_totalprice"), 2) / 100000).alias("v"))  # in cents: sums of doubles differ in their last bits
 
 
-@query(f"WITH {GRID} SELECT cell, district, state, horizon, round(v, 4) AS risk, {PERCENT.format(v='v', m='m')} AS risk_percent FROM grid")
+@query(f"WITH {GRID} SELECT cell, district, state, horizon, round(v, 7) AS risk, {PERCENT.format(v='v', m='m')} AS risk_percent FROM grid")
 def risk_all(spark, d):
     rows = risk.at_all_horizons(T.cells(spark, d), horizons(spark, d), "v", list(risk.HORIZONS))
-    return rows.select("cell", "district", "state", "horizon", F.round("v", 4).alias("risk"), F.round("risk_percent", 4).alias("risk_percent"))
+    # cents by 100,000 have seven decimals; at fewer, halves are rounded by how a double is read
+    return rows.select("cell", "district", "state", "horizon", F.round("v", 7).alias("risk"), F.round("risk_percent", 4).alias("risk_percent"))
 
 
 @query(f"WITH {GRID}, corner AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS k), xy AS (SELECT k, CAST([0, -0.015, -0.015, 0, 0.015, 0.015, 0][k + 1] AS DOUBLE) AS x, CAST([0.02, 0.01, -0.01, -0.02, -0.01, 0.01, 0.02][k + 1] AS DOUBLE) AS y FROM corner) SELECT cell, horizon, string_agg(printf('%.4f %.4f', round(center_lon + x, 4), round(center_lat + y, 4)), ', ' ORDER BY k) AS ring, {PERCENT.format(v='v', m='m')} AS risk_percent FROM grid, xy GROUP BY cell, horizon, v, m")

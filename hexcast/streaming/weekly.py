@@ -44,10 +44,23 @@ def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def latest_week_view(path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that overwrites only the weeks a micro-batch touches."""
+def published_view(path: str, replace: list[str], x: str, y: str, key: str, measures: list[str]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that publishes a new version in which a micro-batch's groups (columns `replace`) take the place of the old ones.
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("monday").parquet(path)
+    Readers keep the version that they pinned while the next is written. The micro-batch's number is the version's token, so one
+    that is replayed after a failure is published once. Rows of groups that the micro-batch does not touch are carried over.
+    """
+    from hexcast.sources import snapshots
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        token, known = f"batch-{number}", snapshots.versions(spark, path)
+        if known:
+            latest = snapshots.snapshot(spark, path, known[-1])
+            if latest.token == token:
+                return
+            touched = batch.select(*replace).distinct()
+            batch = batch.unionByName(snapshots.read(spark, latest).join(touched, replace, "left_anti").select(*batch.columns))
+        snapshots.publish(batch, path, x, y, key, measures, token=token)
 
     return write
