@@ -1,5 +1,5 @@
 """Registered queries with their SQL oracles."""
 
-from hexcast.plans import hexagons, queries, serving, storage
+from hexcast.plans import hexagons, hotspots, queries, serving, storage
 
-__all__ = ["hexagons", "queries", "serving", "storage"]
+__all__ = ["hexagons", "hotspots", "queries", "serving", "storage"]
