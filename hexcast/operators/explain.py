@@ -19,6 +19,23 @@ def local_top(values: DataFrame, cell, n: int = 15, key: str = "cell", feature:
     return rows.orderBy(F.desc("size"), feature).limit(n)
 
 
+def with_fallback(grid: DataFrame, values: DataFrame, n: int = 15, key: str = "cell", feature: str = "feature", value: str = "value") -> DataFrame:
+    """(cell, source, rank, feature, importance): the n most important features of every cell of the grid.
+
+    A cell with contributions of its own is explained by them (source local, absolute value), any other by the mean
+    absolute contributions of all cells (global, at most n rows and so broadcast). Ties go by feature; a cell that
+    no feature is known for has no row.
+    """
+    size = F.abs(value)
+    cells = grid.select(key).distinct()
+    order = Window.partitionBy(key).orderBy(F.desc("importance"), feature)
+    own = values.select(key, feature, size.alias("importance")).join(cells, key, "left_semi").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    whole = global_importance(values.withColumn("__all", F.lit(1)), ["__all"], feature, value).where(F.col("rank") <= n)
+    rest = cells.join(values.select(key), key, "left_anti").join(F.broadcast(whole.drop("__all")))
+    columns = [key, "source", "rank", feature, "importance"]
+    return own.withColumn("source", F.lit("local")).select(*columns).unionByName(rest.withColumn("source", F.lit("global")).select(*columns))
+
+
 def merged(a: DataFrame, b: DataFrame, n: int = 15, feature: str = "feature", value: str = "importance") -> DataFrame:
     """Half-weighted union of two importance lists; a missing side counts 0."""
     both = a.select(feature, value).unionByName(b.select(feature, value))
@@ -45,6 +62,7 @@ def feature_group(name: str) -> str:
 
 
 #: the six ablation scenarios: the group left out, or the only one kept
+#: fixed values: names of the scenarios
 SCENARIOS = {
     "All Features (Baseline)": (None, None), "No Weather": ("Weather", None), "No Spatial (Neighbors)": ("Spatial_Neighbors", None),
     "No Temporal (Seasonality)": ("Temporal_Seasonality", None), "No Ecology & Population": ("Ecology_Population", None),

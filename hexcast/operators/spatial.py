@@ -29,10 +29,22 @@ def neighbours(rows: DataFrame, around: list[tuple[int, int]], carry: list[str])
     return rows.select("cell", "q", "r").join(sent, ["q", "r"])
 
 
+def around_sums(rows: DataFrame, around: list[tuple[int, int]], value: str) -> DataFrame:
+    """(q, r, s, n, k): sum and number of the known values around each place, and the number of cells around it.
+
+    What is sent to a place is summed before it meets the place's cell, first within each task, so that the join has one row for a place
+    and not one for each neighbour.
+    """
+    sent = rows.select("q", "r", F.col(value).alias("v"), offsets(around).alias("o"))
+    sent = sent.select((F.col("q") - F.col("o.dq")).alias("q"), (F.col("r") - F.col("o.dr")).alias("r"), "v")
+    return sent.groupBy("q", "r").agg(F.sum("v").alias("s"), F.count("v").alias("n"), F.count(F.lit(1)).alias("k"))
+
+
 def ring_mean(rows: DataFrame, value: str, k: int, name: str) -> DataFrame:
     """(cell, name, neighbours): mean of the value over the ring at distance k, null without neighbours."""
-    near = neighbours(rows, ring(k), [value]).groupBy("cell").agg(F.avg(f"n_{value}").alias(name), F.count(F.lit(1)).alias("neighbours"))
-    return rows.select("cell").join(near, "cell", "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0).cast("long")))
+    near = around_sums(rows, ring(k), value)
+    out = rows.select("cell", "q", "r").join(near, ["q", "r"], "left")
+    return out.select("cell", F.try_divide("s", "n").alias(name), F.coalesce("k", F.lit(0).cast("long")).alias("neighbours"))
 
 
 def gi_star(rows: DataFrame, value: str, k: int = 1) -> DataFrame:
@@ -41,11 +53,11 @@ def gi_star(rows: DataFrame, value: str, k: int = 1) -> DataFrame:
     z is 0 where the value does not vary or the neighbourhood is the whole map.
     """
     around = [(0, 0), *[o for d in range(1, k + 1) for o in ring(d)]]
-    near = neighbours(rows, around, [value]).groupBy("cell").agg(F.sum(f"n_{value}").alias("s"), F.count(F.lit(1)).cast("double").alias("k"))
+    near = rows.select("cell", "q", "r").join(around_sums(rows, around, value).select("q", "r", "s", F.col("k").cast("double").alias("k")), ["q", "r"])
     whole = rows.agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("sd"), F.count(F.lit(1)).cast("double").alias("n"))
     spread = F.col("sd") * F.sqrt((F.col("n") * F.col("k") - F.col("k") * F.col("k")) / F.nullif(F.col("n") - 1.0, F.lit(0.0)))
     z = F.coalesce(F.try_divide(F.col("s") - F.col("m") * F.col("k"), spread), F.lit(0.0))
-    return near.join(F.broadcast(whole)).select("cell", z.alias("z"))
+    return near.join(F.broadcast(whole)).select("cell", z.alias("z"))  # one row
 
 
 def in_ring(lon: Column, lat: Column, edges: Column) -> Column:
