@@ -32,6 +32,9 @@ _BLOCKS = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote caption figcaption".split())
 _PROSE = frozenset("p h1 h2 h3 pre blockquote figcaption".split())
+_ITEMS = frozenset("li dt dd".split())
+_PROSE_PARTS = frozenset("ul ol dl table tbody figure blockquote pre".split())
+_PAGE = frozenset(("", "html", "body"))
 #: optional end tags: what an element's start ends, looked for through elements of the second set only
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 _THROUGH = {"tr": {"td", "th"}}
@@ -45,8 +48,11 @@ _BAD = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion promotions banner banners nav navbar navigation menu menus submenu "
     "breadcrumb breadcrumbs sidebar sidebars widget widgets footer masthead topbar comment comments reply replies disqus respond discussion cookie cookies consent gdpr notice notices alert alerts "
     "popup popups modal overlay newsletter newsletters subscribe subscription signup login signin share sharing social related recommended recommendations pagination pager copyright legal disclaimer "
-    "toolbar skip toc tags taglist".split()
+    "toolbar skip toc tags taglist feedback guestbook talkback".split()
 )
+#: readers: with one of the second words as the last part, what they wrote
+_READERS = frozenset("user users reader readers guest guests visitor visitors member members".split())
+_WRITTEN = frozenset("post posts entry entries text content message messages body review reviews opinion opinions".split())
 #: ... and, as the first part, together with one of these last parts
 _PARTS = frozenset(
     "list box block area section wrap wrapper container buttons button bar links link panel items item form thread text body content inner slot unit holder zone message messages policy settings posts "
@@ -69,7 +75,7 @@ _HUMPS = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 # the classifier's weights and the smoothness, in the same unit
 SURE, NAMED, NATURE, LENGTH, LINKS = 7.0, 6.0, 1.0, 1.5, 4.0
-NEXT_TO, SAME_ELEMENT, PARENT = 0.6, 0.6, 0.3
+NEXT_TO, SAME_ELEMENT, PARENT = 0.8, 0.8, 0.5
 
 
 class Element:
@@ -77,12 +83,12 @@ class Element:
 
     __slots__ = ("content", "group", "name", "parent", "score", "skipped")
 
-    def __init__(self, name: str, attributes: str, parent: Element | None):
+    def __init__(self, name: str, attributes: str, parent: Element | None, wide: bool = False):
         self.name, self.parent = name, parent
         self.content = name in _CONTENT or bool(parent and parent.content)
         self.skipped = name in _SKIPPED or bool(parent and parent.skipped)
         above = parent.score if parent else 0.0
-        own = element_score(name, attributes, bool(parent and parent.content))
+        own = 0.0 if wide else element_score(name, attributes, bool(parent and parent.content))
         # boilerplate inside content is boilerplate; content inside boilerplate only makes it less sure
         self.score = max(-2 * SURE, min(above, 0.0) + own) if own < 0 else min(NAMED, above + own)
         self.group = parent.group if parent and name in _LEAVES and not own else self
@@ -111,7 +117,7 @@ def name_score(word: str) -> float:
     first, last = parts[0], parts[-1]
     if last in _BAD or last in ("side", "bar") and first in ("side", "top", "nav", "tool"):
         return -SURE
-    if len(parts) > 1 and last in _PARTS and first in _BAD:
+    if len(parts) > 1 and (last in _PARTS and first in _BAD or last in _WRITTEN and first in _READERS):
         return -SURE
     if last == "header":
         return -SURE if first in ("header", "site", "global", "top", "main") else 0.0
@@ -142,6 +148,15 @@ def element_score(name: str, attributes: str, in_content: bool) -> float:
     return score
 
 
+_FORM_END = re.compile(r"</form\b", re.I)
+
+
+def _wraps(page: str, at: int) -> bool:
+    """Whether a form that begins here holds most of the page; such a form is a wrapper and not something to fill in."""
+    end = _FORM_END.search(page, at)
+    return ((end.start() if end else len(page)) - at) > 0.5 * len(page)
+
+
 def blocks_of(page: str) -> list[tuple[Block, str]]:
     """The non-empty text blocks of a page, in order, with their text."""
     out: list[tuple[Block, str]] = []
@@ -215,7 +230,7 @@ def blocks_of(page: str) -> list[tuple[Block, str]]:
         if top.name == "p" and name in _BLOCKS:  # a paragraph ends where a block begins
             pop()
         if name not in _VOID and not (name in ("html", "body", "head") and opened.get(name)) and not (name in _SKIPPED and m[4].endswith("/")):
-            top = Element(name, m[4], top)
+            top = Element(name, m[4], top, name == "form" and _wraps(page, m.start()))
             opened[name] = opened.get(name, 0) + 1
         end()
     if at < len(page):
@@ -230,19 +245,32 @@ def _nodes(blocks: list[tuple[Block, str]]) -> list[dict]:
     for k, (b, text) in enumerate(blocks):
         group, linked = b.element.group, b.linked > 0.5 * len(text)
         if not out or out[-1]["group"] is not group or out[-1]["links"] != linked:
-            out.append({"group": group, "links": linked, "first": k, "chars": 0, "linked": 0, "prose": False})
+            out.append({"group": group, "links": linked, "first": k, "chars": 0, "linked": 0, "prose": False, "items": False})
         node = out[-1]
         node["chars"] += len(text)
         node["linked"] += b.linked
         node["prose"] |= b.element.name in _PROSE
+        node["items"] = b.element.name in _ITEMS
         node["last"] = k
+    small = max((n["chars"] for n in out), default=0) < 200  # a page without any long run: shortness tells nothing
     for node in out:
-        score = node["group"].score + (NATURE if node["prose"] else -NATURE)
-        score += LENGTH if node["chars"] >= 200 else -LENGTH * 0.5 if node["chars"] < 40 else 0.0
+        score = node["group"].score + (NATURE if node["prose"] else 0.0 if small and node["items"] else -NATURE)
+        score += LENGTH if node["chars"] >= 200 else -LENGTH * 0.5 if node["chars"] < 40 and not small else 0.0
         node["score"] = score - LINKS * min(1.0, node["linked"] / max(1, node["chars"]))
     return out
 
 
+def _above(e: Element) -> Element | None:
+    """The element that an element belongs to; what stands in the body itself belongs to it only if it is a part of prose."""
+    up = e.parent.group if e.parent else None
+    return up if up and (up.name not in _PAGE or e.name in _PROSE_PARTS) else None
+
+
+def _close(a: Element, b: Element) -> bool:
+    """Whether two elements are the same, one the other's parent, or siblings below a marked element."""
+    return a is b or _above(a) is b or _above(b) is a or _above(a) is _above(b) and bool(_above(a) and _above(a).score)
+
+
 def _edges(nodes: list[dict]) -> list[tuple[int, int, float]]:
     """Smoothness edges: neighbours on the page, nodes of one element, nodes of an element and its parent."""
     out = []
@@ -250,10 +278,10 @@ def _edges(nodes: list[dict]) -> list[tuple[int, int, float]]:
     for k, node in enumerate(nodes):
         group = node["group"]
         if k:
-            out.append((k - 1, k, NEXT_TO))
+            out.append((k - 1, k, NEXT_TO if _close(nodes[k - 1]["group"], group) else NEXT_TO / 4))
         if id(group) in last:
             out.append((last[id(group)], k, SAME_ELEMENT))
-        above = group.parent.group if group.parent else None
+        above = _above(group)
         if above and id(above) in last:
             out.append((last[id(above)], k, PARENT))
         last[id(group)] = k

@@ -97,3 +97,33 @@ def test_deep_and_long_pages_are_linear(page):
 def test_states_and_topics_say_nothing():
     assert name_score("has-sidebar") == name_score("category-legal") == name_score("modal-open") == 0
     assert name_score("site-footer") < 0 and name_score("commentList") < 0 and name_score("post-content") > 0
+
+
+LONG = "word " * 80
+
+
+def test_page_wide_forms_plain_bodies_and_readers():
+    from hexcast.llm.htmltext import main_text
+
+    whole = f"<h1>Title</h1>\n<p>{LONG}</p>"
+    for wrapped in (f"<form id=aspnet><article>{whole}</article></form>", f"<form>{whole}</form>", f"<FORM>{whole}"):
+        assert main_text(f"<html><body>{wrapped}</body></html>").startswith("Title\n\nword")
+    asked = f"<article>{whole}</article><form><label>Name</label><p>Send us your message</p></form>"
+    assert "message" not in main_text(f"<html><body>{asked}</body></html>")
+    plain = "<html><body><h1>Short title</h1><p>A short paragraph.</p><ul><li>one</li><li>two</li></ul></body></html>"
+    assert main_text(plain) == "Short title\n\nA short paragraph.\n\none\n\ntwo"
+    readers = "".join(f"<div class='{c}'><p>I liked it very much, said one who had read all of this page.</p></div>" for c in ("feedback", "user-post", "reader-reviews", "guestbook"))
+    assert main_text(f"<html><body><article>{whole}</article>{readers}</body></html>") == "Title\n\n" + LONG.strip()
+
+
+def test_the_cut_takes_close_nodes_along():
+    """A list beside prose goes with it although its own score speaks for boilerplate; far from it, it does not."""
+    from hexcast.llm.htmltext import _edges, _nodes, blocks_of, main_text, min_cut
+
+    page = f"<html><body><div><p>{LONG}</p><ul><li>first of a few</li><li>second of a few</li></ul><p>{LONG}</p></div></body></html>"
+    nodes = _nodes(blocks_of(page))
+    labels = min_cut([n["score"] for n in nodes], _edges(nodes))
+    assert [n["score"] > 0 for n in nodes] == [True, False, True] and labels == [True, True, True]
+    links = page.replace("first of a few", "<a href=1>first of a few</a>").replace("second of a few", "<a href=2>second of a few</a>")
+    assert "first of a few" in main_text(page) and "first of a few" not in main_text(links)
+    assert main_text("<html><body><div>© 2020 Company</div><h1>Title</h1><p>Some text here.</p><nav><ul><li><a href=1>x</a></li></ul></nav></body></html>") == "Title\n\nSome text here."
