@@ -1,5 +1,5 @@
 """Registered queries with their SQL oracles."""
 
-from hexcast.plans import areas, hexagons, hotspots, panels, queries, serving, storage
+from hexcast.plans import areas, forecasts, hexagons, hotspots, panels, queries, serving, storage
 
-__all__ = ["areas", "hexagons", "hotspots", "panels", "queries", "serving", "storage"]
+__all__ = ["areas", "forecasts", "hexagons", "hotspots", "panels", "queries", "serving", "storage"]
