@@ -131,12 +131,12 @@ def partitioned_parquet(spark, d):
 
 @query("WITH w AS (SELECT l_orderkey AS cell, count(*) AS days, round(max(CAST(20 AS DOUBLE) + CAST(100 AS DOUBLE) * l_discount), 6) AS warmest, sum(l_quantity) AS rain FROM lineitem GROUP BY 1) SELECT CAST(cell AS VARCHAR) AS h3_index, days, warmest, rain FROM w", rain="DOUBLE")
 def weather_documents(spark, d):
-    """Nested weather documents, one for each order (a few lines), written as JSON and read by the documents' reader."""
+    """Nested weather documents, one for each order (a few lines), written as JSON arrays and read by the documents' reader."""
     path = f"{shared_folder(spark)}/weather-{uuid.uuid4().hex}"
     day = F.struct("l_linenumber", (F.lit(20.0) + F.lit(100.0) * F.col("l_discount")).alias("tmax"), F.col("l_quantity").cast("double").alias("rain"))
     docs = T.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("h3_index")).agg(F.sort_array(F.collect_list(day)).alias("days"))
     daily = F.struct(F.col("days.tmax").alias("temperature_2m_max"), F.col("days.tmax").alias("temperature_2m_min"), F.col("days.rain").alias("precipitation_sum"))
-    files.write_json(docs.select("h3_index", daily.alias("daily")), path)
-    rows = spark.read.schema(files.WEATHER_DOCS).json(path)
+    files.write_weather_docs(docs.select("h3_index", daily.alias("daily")), path)
+    rows = files.read_weather_docs(spark, path)
     total = F.aggregate("daily.precipitation_sum", F.lit(0.0), lambda a, x: a + x)
     return rows.select("h3_index", F.size("daily.precipitation_sum").cast("long").alias("days"), F.round(F.array_max("daily.temperature_2m_max"), 6).alias("warmest"), total.alias("rain"))

@@ -25,7 +25,15 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_weather_docs(spark: SparkSession, path: str) -> DataFrame:
     """Nested weather documents: JSON arrays of objects, plain or gzip."""
-    return spark.read.schema(WEATHER_DOCS).option("multiLine", True).json(path)
+    return spark.read.schema(WEATHER_DOCS).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+
+
+def write_weather_docs(docs: DataFrame, path: str, size: int = 2000) -> None:
+    """Write (h3_index, daily) as gzip JSON files of arrays of about `size` documents, dealt by the hash of their id."""
+    arrays = max(1, -(-docs.count() // size))
+    dealt = docs.groupBy(F.pmod(F.xxhash64("h3_index"), F.lit(arrays)).alias("array"))
+    listed = dealt.agg(F.to_json(F.sort_array(F.collect_list(F.struct("h3_index", "daily")))).alias("value"))
+    listed.repartition("array").write.partitionBy("array").option("compression", "gzip").text(path)
 
 
 def read_strings(spark: SparkSession, path: str) -> DataFrame:
