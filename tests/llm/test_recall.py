@@ -105,15 +105,15 @@ def test_groups_by_buckets_count_each_pair_once(spark, data, monkeypatch):
 
 
 def test_toxicity_precision_recall_and_calibration(spark):
-    """On held-out rows only about one in eight is toxic: accuracy alone says little."""
+    """On held-out rows only about one in eight is toxic: accuracy alone says little. The smaller tables hold six of them."""
     import numpy as np
 
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic").where("toxic is not null")
     rows = queries.op3_toxicity(spark, folder).where("held_out").join(labels, "doc_id").collect()
     y, p, said = (np.array([r[c] for r in rows], float) for c in ("toxic", "score", "predicted"))
     caught = (y * said).sum()
-    assert caught >= 0.85 * y.sum() and caught >= 0.85 * said.sum()
+    assert caught >= 0.8 * y.sum() and caught >= 0.95 * said.sum()
     tenths = np.minimum((p * 10).astype(int), 9)
     error = sum((tenths == k).mean() * abs(p[tenths == k].mean() - y[tenths == k].mean()) for k in range(10) if (tenths == k).any())
-    assert error <= 0.1 and ((p >= 0.5) == (said == 1)).all()
+    assert error <= 0.05 and ((p >= 0.5) == (said == 1)).all()
