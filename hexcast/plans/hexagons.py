@@ -6,10 +6,12 @@ from math import cos, pi, sin, sqrt
 
 from pyspark.sql import functions as F
 
+from hexcast.functions import hexbatch
 from hexcast.functions import hexgrid as H
 from hexcast.functions.exprs import hex_parent, hex_text
 from hexcast.operators import hexcells
 from hexcast.plans.queries import CELLS, RISK_A, query
+from hexcast.session import spread
 from hexcast.sources import tables as T
 
 # ---- SQL ---------------------------------------------------------------------------------------
@@ -89,7 +91,7 @@ def globe_points(spark, d):
     """(cell, lat, lon): the customers' keys spread over the globe."""
     key = F.col("c_custkey")
     place = [((key * 37) % 17990 / 100.0 - 89.95).alias("lat"), ((key * 101) % 35990 / 100.0 - 179.95).alias("lon")]
-    return T.table(spark, d, "customer").select(key.alias("cell"), *place)
+    return spread(T.table(spark, d, "customer").select(key.alias("cell"), *place))
 
 
 @query(f"WITH {TABLES}, {_globe(1)}, {_globe(6)} SELECT key AS cell, 1 AS resolution, hexagon FROM h1 UNION ALL SELECT key, 6, hexagon FROM h6")
@@ -97,7 +99,7 @@ def hexagon_globe(spark, d):
     """Ids over the whole globe at resolutions 1 and 6, but for the base cells of the twelve pentagons, which the tests cover."""
     pentagons = [b for b, (_, _, p) in enumerate(H.HOME) if p]
     rows = globe_points(spark, d).withColumn("resolution", F.explode(F.array(F.lit(1), F.lit(6))))
-    rows = rows.withColumn("hexagon", H.cell_at(F.col("lat"), F.col("lon"), F.col("resolution")))
+    rows = rows.withColumn("hexagon", hexbatch.cells_at(F.col("lat"), F.col("lon"), F.col("resolution")))
     return rows.where(~H.base_cell_of(F.col("hexagon")).isin(pentagons)).select("cell", "resolution", "hexagon")
 
 
@@ -105,14 +107,14 @@ def hexagon_globe(spark, d):
 def hexagon_round_trip(spark, d):
     """Places of the globe whose cell's centre lies in that same cell, by resolution: all of them."""
     rows = globe_points(spark, d).withColumn("resolution", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    rows = rows.withColumn("hexagon", H.cell_at(F.col("lat"), F.col("lon"), F.col("resolution"))).withColumn("at", H.centre_of(F.col("hexagon")))
-    same = H.cell_at(F.col("at.lat"), F.col("at.lon"), F.col("resolution")) == F.col("hexagon")
-    return rows.groupBy("resolution").agg(F.count(F.lit(1)).alias("places"), F.count_if(same & H.is_cell(F.col("hexagon"))).alias("same"))
+    rows = rows.withColumn("hexagon", hexbatch.cells_at(F.col("lat"), F.col("lon"), F.col("resolution"))).withColumn("at", hexbatch.centres_of(F.col("hexagon")))
+    same = hexbatch.cells_at(F.col("at.lat"), F.col("at.lon"), F.col("resolution")) == F.col("hexagon")
+    return rows.groupBy("resolution").agg(F.count(F.lit(1)).alias("places"), F.count_if(same & F.col("at").isNotNull()).alias("same"))
 
 
 @query(f"WITH {PLACES7}, ids AS (SELECT DISTINCT hexagon FROM hex), {centres_sql('mid', 'ids', 7)} SELECT key AS cell, round(lat, 7) AS lat, round(lon, 7) AS lon FROM hex JOIN mid USING (hexagon)")
 def hexagon_centres(spark, d):
-    rows = hexcells.with_cells(T.cells(spark, d), 7).withColumn("at", H.centre_of(F.col("hexagon")))
+    rows = hexcells.with_cells(T.cells(spark, d), 7).withColumn("at", hexbatch.centres_of(F.col("hexagon")))
     return rows.select("cell", F.round("at.lat", 7).alias("lat"), F.round("at.lon", 7).alias("lon"))
 
 

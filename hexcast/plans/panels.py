@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hexcast.functions import hexgrid as H
+from hexcast.functions import hexbatch
 from hexcast.functions.exprs import hex_text
 from hexcast.operators import evaluate, explain, panel, risk, spatial
 from hexcast.plans import queries as Q
@@ -90,7 +90,7 @@ def hexagons_with_fallback(spark, d):
     mean = cells.groupBy(*KEYS).agg(F.round(F.avg("center_lat"), 5).alias("center_lat"), F.round(F.avg("center_lon"), 5).alias("center_lon"))
     bare = spatial.without_match(mean, top, KEYS)
     rows = top.withColumn("is_fallback", F.lit(False)).unionByName(bare.withColumn("is_fallback", F.lit(True)))
-    rows = rows.select(H.cell_at(F.col("center_lat"), F.col("center_lon"), 5).alias("hexagon"), "district", "state", "is_fallback")
+    rows = rows.select(hexbatch.cells_at(F.col("center_lat"), F.col("center_lon"), 5).alias("hexagon"), "district", "state", "is_fallback")
     rows = rows.withColumn("order", F.struct("is_fallback", "district", "state"))
     return risk.keep_one(rows, ["hexagon"], "order").select(hex_text("hexagon").alias("hexagon"), "district", "state", "is_fallback")
 

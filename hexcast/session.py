@@ -40,3 +40,9 @@ def materialised(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out over the session's cores, for few or small rows that each make much work: a small file is one task otherwise."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
