@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hexcast.functions import hexbatch
 from hexcast.functions import hexgrid as H
 from hexcast.functions.exprs import hex_number
+from hexcast.operators import hexcells
 from hexcast.plans.hexagons import globe_points
 from tests.test_hexgrid import _deg, globe
 
@@ -31,3 +32,10 @@ def test_what_is_no_cell_or_place_gives_null(spark):
 
 def test_a_small_file_is_dealt_out(spark, data):
     assert globe_points(spark, data).rdd.getNumPartitions() >= 8  # one file of one row group: a single task before
+
+
+def test_a_box_beyond_the_pole_costs_only_the_globe(spark):
+    ring = lambda n: [[{"lon": x, "lat": y} for x, y in ((60.0, 80.0), (90.0, 80.0), (90.0, n), (60.0, n), (60.0, 80.0))]]
+    kind = "name string, rings array<array<struct<lon: double, lat: double>>>"
+    near, far = ({(r["hexagon"]) for r in hexcells.fill(spark.createDataFrame([("a", ring(n))], kind), ["name"], 4).collect()} for n in (90.0, 2e6))
+    assert near and near == far  # 12 million lines of the grid before
