@@ -14,6 +14,7 @@ from hexcast.sources import cubes, http, snapshots
 from hexcast.sources import tables as T
 from hexcast.streaming import weekly as stream
 
+EVERYWHERE = (float("-inf"), float("-inf"), float("inf"), float("inf"))  # cells of a large grid lie beyond 90 degrees
 HALF = 0.016  # half of a cell's width in degrees, as the viewport takes it
 
 
@@ -36,7 +37,7 @@ def viewport_snapshot(spark, d):
 def hot_states_snapshot(spark, d):
     """Cells above nine tenths of the stored maximum, by state: files whose own maximum is lower stay closed."""
     at = serving_version(spark, d, f"{shared_folder(spark)}/serving-{uuid.uuid4().hex}")
-    hot = snapshots.read_box(spark, at, "center_lon", "center_lat", (-180.0, -90.0, 180.0, 90.0), above=("a", (at.largest["a"] or 0.0) * 0.9))
+    hot = snapshots.read_box(spark, at, "center_lon", "center_lat", EVERYWHERE, above=("a", (at.largest["a"] or 0.0) * 0.9))
     return hot.groupBy("state").agg(F.count(F.lit(1)).alias("hot"))
 
 

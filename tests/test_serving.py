@@ -73,3 +73,16 @@ def test_no_horizon_is_left_out(spark):
     some = spark.createDataFrame([(1, 1, 5.0), (2, 1, 10.0), (1, 2, 0.0)], "cell int, horizon int, v double")
     got = risk.at_all_horizons(cells, some, "v", [1, 2, 3]).orderBy("horizon", "cell").select("v", F.round("risk_percent", 3)).collect()
     assert [tuple(r) for r in got] == [(5.0, 49.95), (10.0, 99.9), *[(0.0, 0.1)] * 4]
+
+
+def test_hot_states_count_cells_beyond_ninety_degrees(spark, data, tmp_path):
+    from hexcast.plans.storage import hot_states_snapshot
+
+    for t in ("nation", "region", "customer", "orders"):
+        rows = spark.read.parquet(f"{data}/{t}.parquet")
+        key = {"customer": "c_custkey", "orders": "o_custkey"}.get(t)
+        if key:  # rows of the grid from 3,000 on, which are at 98 degrees and more
+            rows = rows.unionByName(rows.withColumn(key, F.col(key) + 120_000))
+        rows.write.parquet(f"{tmp_path}/{t}.parquet")
+    once = {r["state"]: r["hot"] for r in hot_states_snapshot(spark, data).collect()}
+    assert {r["state"]: r["hot"] for r in hot_states_snapshot(spark, str(tmp_path)).collect()} == {s: 2 * n for s, n in once.items()}
