@@ -101,3 +101,13 @@ def test_regions_by_brute_force(spark):
 def test_no_hot_cells_no_regions(spark):
     none = spark.createDataFrame([], "week int, cell long, q long, r long")
     assert regions.hot_regions(none).count() == 0 and regions.region_events(regions.hot_regions(none)).count() == 0
+
+
+def test_rounds_of_components_send_no_table_through_the_driver(spark, monkeypatch):
+    plans = []
+    kept = regions.materialised
+    monkeypatch.setattr(regions, "materialised", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df))[1])
+    hot = spark.createDataFrame([(w, c, c % 40, c // 40) for w in (1, 2) for c in (1, 2, 3, 50, 51)], "week int, cell long, q long, r long")
+    events = regions.region_events(regions.hot_regions(hot))
+    plans.append(events._jdf.queryExecution().executedPlan().toString())
+    assert events.count() == 4 and len(plans) > 4 and not any("Broadcast" in p for p in plans)
