@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from hexcast.functions import exprs as X
 from hexcast.operators import alerts, evaluate, explain, models, panel, risk, search, spatial, treeshap
-from hexcast.session import shared_folder
+from hexcast.session import materialised, shared_folder
 from hexcast.sources import tables as T
 from hexcast.streaming import weekly as stream
 
@@ -839,10 +839,11 @@ def p_values(spark, d):
 
 
 def training_panel(spark, d) -> DataFrame:
+    """Places by weeks with lags, leads and rolling values; written once, as each pass of a fit would join the orders again."""
     rows = panel.leads(panel.lags(dense_cases(spark, d), KEYS, "cases", [1, 2, 3, 4, 8]), KEYS, "cases", [1, 2, 3, 4])
     rows = panel.rolling_cases(rows, KEYS, "cases").withColumn("week", X.iso_week("monday")).withColumn("year", X.iso_year("monday"))
     sin, cos = X.season("week")
-    return rows.withColumn("sin_week", sin).withColumn("cos_week", cos)
+    return materialised(rows.withColumn("sin_week", sin).withColumn("cos_week", cos))
 
 
 LEADED = f"""{WEEKS}, f AS (SELECT district, state, monday, isoyear(monday) AS year, weekofyear(monday) AS week, lag(cases) OVER {OVER}) AS l1, {', '.join(f'lead(cases, {k}) OVER {OVER}) AS y{k}' for k in (1, 2, 3, 4))} FROM dense),

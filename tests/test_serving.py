@@ -86,3 +86,10 @@ def test_hot_states_count_cells_beyond_ninety_degrees(spark, data, tmp_path):
         rows.write.parquet(f"{tmp_path}/{t}.parquet")
     once = {r["state"]: r["hot"] for r in hot_states_snapshot(spark, data).collect()}
     assert {r["state"]: r["hot"] for r in hot_states_snapshot(spark, str(tmp_path)).collect()} == {s: 2 * n for s, n in once.items()}
+
+
+def test_training_panel_is_written_once(spark, data):
+    from hexcast.plans.queries import training_panel
+
+    files = training_panel(spark, data).inputFiles()
+    assert files and not any("orders" in f or "customer" in f for f in files)  # each pass of a fit joined the orders again
