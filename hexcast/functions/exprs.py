@@ -35,6 +35,26 @@ def ratio(a: ColumnLike, b: ColumnLike, default: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(col(a).cast("double"), col(b).cast("double")), F.lit(default))
 
 
+def exact_parts(c: ColumnLike) -> tuple[Column, Column]:
+    """A double as a decimal of six digits after the point and, as a double, what it has beyond them.
+
+    A value that no such decimal holds (from 1e12 on, infinite or NaN) is all in the second part.
+    """
+    value = col(c).cast("double")
+    exact = value.try_cast("decimal(18,6)")
+    return exact, value - F.coalesce(exact.cast("double"), F.lit(0.0))
+
+
+def exact_sum(c: ColumnLike) -> Column:
+    """Aggregate: the sum of doubles, the same in whatever order the rows come.
+
+    Amounts of up to six digits after the point add up without rounding, so that totals that are equal, or equal to a
+    bound, compare as equal; only what values have beyond those digits is added as doubles.
+    """
+    exact, rest = exact_parts(c)
+    return F.coalesce(F.sum(exact).cast("double"), F.lit(0.0)) + F.sum(rest)
+
+
 def risk_percent(risk: ColumnLike, largest: ColumnLike, digits: int = 4) -> Column:
     """Share of the largest risk in percent, clamped to 0.1 ... 99.9."""
     share = col(risk) / col(largest) * F.lit(99.9)

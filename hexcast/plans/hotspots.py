@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from hexcast.functions.exprs import week_index, week_start
+from hexcast.functions.exprs import exact_sum, week_index, week_start
 from hexcast.operators import regions
 from hexcast.plans.queries import query
 from hexcast.session import shared_folder
@@ -25,7 +25,7 @@ SELECT cell, week, round(total, 4) AS total, hot, weeks, min(CASE WHEN hot THEN
 
 def weekly_totals(spark, d):
     rows = T.table(spark, d, "events").select(F.col("user_id").alias("cell"), week_index(week_start("ts")).cast("int").alias("week"), "value")
-    return rows.groupBy("cell", "week").agg(F.sum("value").alias("total"))
+    return rows.groupBy("cell", "week").agg(exact_sum("value").alias("total"))
 
 
 @query(EVOLUTION)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexcast.functions.exprs import iso_week, iso_year, mask_sentinels, week_index, week_start
+from hexcast.functions.exprs import exact_sum, iso_week, iso_year, mask_sentinels, week_index, week_start
 
 GRID_COLUMNS = 40
 PARENT_SIZE = 7
@@ -34,7 +34,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def risk_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell, a): the first disease's predicted risk."""
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("cell")).agg((F.sum("o_totalprice") / 100000).alias("a"))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("cell")).agg((exact_sum("o_totalprice") / 100000).alias("a"))
 
 
 def risk_b(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ has been hot, the first and last weeks of detection so far, and a label. Weeks a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
-from hexcast.functions.exprs import week_index, week_start
+from hexcast.functions.exprs import exact_parts, week_index, week_start
 
 LASTING = 3  # weeks in a row that make a hot spot persistent
 SCHEMA = "cell long, week int, total double, hot boolean, weeks int, first_detection int, last_detection int, label string"
@@ -48,7 +49,7 @@ class Evolution(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.totals = handle.getMapState("totals", "week int", "total double")
+        self.totals = handle.getMapState("totals", "week int", "exact decimal(38,6), rest double")
         self.past = handle.getValueState("past", "week int, total double, weeks int, first int, last int")
         self.count = handle.getValueState("count", "revision long")
 
@@ -56,11 +57,11 @@ class Evolution(StatefulProcessor):
         closed = self.past.get()[0] if self.past.exists() else None
         changed = set()
         for part in rows:
-            for week, value in part.groupby("week")["value"].sum(min_count=0).items():
+            for week, of_week in part.groupby("week"):
                 week = int(week)
                 if closed is None or week > closed:
-                    before = self.totals.getValue((week,))[0] if self.totals.containsKey((week,)) else 0.0
-                    self.totals.updateValue((week,), (before + float(value),))
+                    exact, rest = self.totals.getValue((week,)) if self.totals.containsKey((week,)) else (Decimal(0), 0.0)
+                    self.totals.updateValue((week,), (sum(of_week["exact"], exact), rest + float(of_week["rest"].sum())))
                     changed.add(week)
         if changed:
             self.handle.registerTimer(FIRST_MONDAY_MS + (max(changed) + self.keep + 1) * WEEK_MS)
@@ -70,7 +71,8 @@ class Evolution(StatefulProcessor):
     def _told(self) -> list[tuple]:
         week, total, weeks, first, last = self.past.get() if self.past.exists() else (None, None, 0, None, None)
         out = []
-        for (now,), (value,) in sorted((tuple(k), tuple(v)) for k, v in self.totals.iterator()):
+        for (now,), (exact, rest) in sorted((tuple(k), tuple(v)) for k, v in self.totals.iterator()):
+            value = float(exact) + rest
             near, was = week is not None and week == now - 1, weeks > 0
             hot = value > self.bound
             rising = near and was and value > total
@@ -109,7 +111,9 @@ def evolution_stream(events: DataFrame, bound: float, cell: str, time: str, valu
     cell's state stays small however long its history is. Events without a time or cell are left out.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    rows = events.select(F.col(cell).cast("long").alias("cell"), F.col(time).cast("timestamp").alias("ts"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("value"))
+    exact, rest = exact_parts(F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
+    known = F.coalesce(exact, F.lit(0).cast("decimal(18,6)")).alias("exact"), rest.alias("rest")
+    rows = events.select(F.col(cell).cast("long").alias("cell"), F.col(time).cast("timestamp").alias("ts"), *known)
     rows = rows.where("cell is not null and ts is not null").withWatermark("ts", late)
     rows = rows.withColumn("week", week_index(week_start("ts")).cast("int"))
     return rows.groupBy("cell").transformWithStateInPandas(Evolution(bound, keep), f"{SCHEMA}, revision long", "Update", "EventTime")
