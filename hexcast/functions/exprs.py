@@ -46,10 +46,10 @@ def exact_parts(c: ColumnLike) -> tuple[Column, Column]:
 
 
 def exact_sum(c: ColumnLike) -> Column:
-    """Aggregate: the sum of doubles, the same in whatever order the rows come.
+    """Aggregate: the sum of doubles; of amounts below 1e12 with up to six digits after the point, the same in whatever order the rows come.
 
-    Amounts of up to six digits after the point add up without rounding, so that totals that are equal, or equal to a
-    bound, compare as equal; only what values have beyond those digits is added as doubles.
+    Such amounts add up without rounding, so that totals that are equal, or equal to a bound, compare as equal; what
+    values have beyond those digits is added as doubles.
     """
     exact, rest = exact_parts(c)
     return F.coalesce(F.sum(exact).cast("double"), F.lit(0.0)) + F.sum(rest)
