@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from hexcast.functions.exprs import exact_sum
 from hexcast.operators import regions
+from hexcast.plans import hotspots as plans
 from hexcast.sources import tables as T
 from hexcast.streaming import hotspots
 
 EVENTS = "cell long, ts timestamp, value double"
+BOUND_CENTS = [72.87, 114.56, 106.58, 17.11, 66.59, 13.41, 5.66, 303.22]  # 700.00; as doubles added in turn, either way, more
 
 
 def weekly(rows):
