@@ -36,9 +36,14 @@ def hotspot_evolution(spark, d):
 
 @query(EVOLUTION)
 def hotspot_evolution_stream(spark, d):
-    """The same rows from the stream of events, by a state for each cell."""
-    events = stream.event_stream(spark, f"{d}/events.parque[t]", T.table(spark, d, "events").schema)
-    told = hotspots.evolution_stream(events, BOUND, "user_id", "ts", "value")
+    """The same rows from the stream of events, by a state for each cell.
+
+    The files of a table come in any order, so a row may be as late as the table is long: none is left out.
+    """
+    table = T.table(spark, d, "events")
+    days = table.agg(F.datediff(F.max("ts"), F.min("ts"))).first()[0] or 0
+    events = stream.event_stream(spark, f"{d}/events.parque[t]", table.schema)
+    told = hotspots.evolution_stream(events, BOUND, "user_id", "ts", "value", late=f"{days + 1} days")
     path = f"{shared_folder(spark)}/evolution-{uuid.uuid4().hex}"
     return hotspots.told_into(told, f"{path}/rows", f"{path}/checkpoint").withColumn("total", F.round("total", 4))
 
