@@ -25,10 +25,13 @@ FIRST_MONDAY_MS = -3 * 86_400_000  # 1969-12-29
 
 
 def evolution(weekly: DataFrame, bound: float, cell: str = "cell", week: str = "week", total: str = "total") -> DataFrame:
-    """The rows of SCHEMA for each (cell, week) with a total; windows are by cell, so a long history is one cell's own."""
-    w = Window.partitionBy("cell").orderBy("week")
+    """The rows of SCHEMA for each (cell, week); windows are by cell, so a long history is one cell's own.
+
+    Without a total, `hot` is null and counts as not hot; a row without a week comes after the cell's weeks.
+    """
+    w = Window.partitionBy("cell").orderBy(F.asc_nulls_last("week"))
     rows = weekly.select(F.col(cell).cast("long").alias("cell"), F.col(week).cast("int").alias("week"), F.col(total).cast("double").alias("total"))
-    rows = rows.withColumn("hot", F.coalesce(F.col("total") > bound, F.lit(False)))
+    rows = rows.withColumn("hot", F.col("total") > bound)
     next_to = F.lag("week").over(w) == F.col("week") - 1
     rows = rows.withColumn("before", F.when(next_to, F.lag("total").over(w))).withColumn("was_hot", F.when(next_to, F.lag("hot").over(w)).otherwise(False))
     rows = rows.withColumn("run", F.sum(F.when(F.col("hot") & F.col("was_hot"), 0).otherwise(1)).over(w))
